@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronoframe.llm import packing, quality, sharding, token_files, urls
+from chronoframe.llm import decontaminate, lines, packing, quality, sharding, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,3 +51,15 @@ def op7(spark, sf_dir):
 @query("op9_hilbert_shards")
 def op9(spark, sf_dir):
     return sharding.hilbert_shards(documents(spark, sf_dir))
+
+
+@query("op8_line_dedup")
+def op8(spark, sf_dir):
+    """Line counts and the checksum of what stays of each document."""
+    kept = lines.dedup_lines(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op10_decontamination")
+def op10(spark, sf_dir):
+    return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
