@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import decontaminate, lines, packing, quality, sharding, token_files, urls
+from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, sharding, token_files, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op8(spark, sf_dir):
 @query("op10_decontamination")
 def op10(spark, sf_dir):
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
+
+
+@query("op1_ngram_jaccard")
+def op1(spark, sf_dir):
+    return jaccard.near_duplicates(documents(spark, sf_dir))

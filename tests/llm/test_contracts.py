@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from chronoframe.llm import decontaminate, lines, packing, quality, queries, sharding, token_files, tokens, urls
+from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, queries, sharding, token_files, tokens, urls
 
 from . import brute
 
@@ -198,3 +198,24 @@ def test_shards(spark, docs):
         assert all(sorted(x) == list(range(len(x))) for x in by.values())
         runs = [hashlib.md5(repr(text[r.doc_id]).encode()).digest() for r in sorted(got, key=lambda r: (r.shard, r.slot))]
         assert sum(a != b for a, b in zip(runs, runs[1:], strict=False)) + 1 == len(set(runs))  # equal texts side by side
+
+
+def test_near_duplicates(spark, docs):
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(frame(spark, docs)).collect())
+    assert got == brute.components(docs)
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Large groups are cut into blocks; here blocks of four, with copies that link only in chains."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "SIDE", 3)
+    r = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(r.randrange(5)):
+            w[r.randrange(len(w))] = f"z{r.randrange(1000)}"
+        docs.append((len(docs), " ".join(w)))
+    got = sorted(tuple(x) for x in jaccard.near_duplicates(frame(spark, docs)).collect())
+    assert got == brute.components(docs)
