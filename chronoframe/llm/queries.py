@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, sharding, token_files, urls
+from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, repeats, sharding, token_files, urls, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -68,3 +68,13 @@ def op10(spark, sf_dir):
 @query("op1_ngram_jaccard")
 def op1(spark, sf_dir):
     return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    return wordpiece.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))

@@ -57,9 +57,9 @@ def repeats(docs, k=50):
         gone = bytearray(len(b))
         for i in range(len(b) - k + 1):
             if least[b[i : i + k]] < d:
-                gone[i : i + k] = b"\1" * k
+                gone[i : i + k] = b"\x01" * k
         kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        spans = len(re.findall(rb"\1+", bytes(gone)))
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return sorted(out)
 

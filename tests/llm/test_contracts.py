@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, queries, sharding, token_files, tokens, urls
+from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, queries, repeats, sharding, token_files, tokens, urls, wordpiece
 
 from . import brute
 
@@ -219,3 +221,44 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
         docs.append((len(docs), " ".join(w)))
     got = sorted(tuple(x) for x in jaccard.near_duplicates(frame(spark, docs)).collect())
     assert got == brute.components(docs)
+
+
+def test_repeats(spark, docs):
+    got = sorted(tuple(r) for r in repeats.remove_repeats(frame(spark, docs)).drop("kept").collect())
+    assert got == brute.repeats(docs)
+
+
+@pytest.mark.parametrize("queued", [0, 1 << 20])
+def test_suffix_order(queued, monkeypatch):
+    monkeypatch.setattr(repeats, "QUEUED", queued)
+    monkeypatch.setattr(repeats.Queues.__init__, "__defaults__", (queued,))
+    r = random.Random(2)
+    for _ in range(60):
+        text = [r.randrange(1, r.choice([2, 3, 30])) if r.random() < 0.9 else 1 for _ in range(r.randrange(1, 300))]
+        text += text[: r.randrange(len(text))] + [0]
+        order = repeats.suffix_order(np.array(text, np.int16), 50).tolist()
+        assert sorted(order) == list(range(len(text)))
+        heads = [tuple(text[i : i + 50]) for i in order]
+        assert heads == sorted(heads)
+
+
+def test_token_counts(spark, docs):
+    vocabulary = set(json.load(open(BYTE, encoding="utf-8"))["model"]["vocab"])
+    longest, letters = max(map(len, vocabulary)), tokens.byte_letters()
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in wordpiece.token_counts(frame(spark, docs), BYTE).collect()}
+    assert set(got) == {d for d, _ in docs}
+    for d, t in docs[:40]:
+        n = 0
+        words = brute.WHITE.findall(t or "")
+        for w in words:
+            s, at = "".join(letters[b] for b in (" " + w).encode()), 0
+            while at < len(s):
+                at += next(k for k in range(min(longest, len(s) - at), 0, -1) if s[at : at + k] in vocabulary)
+                n += 1
+        assert got[d] == (len(words), n)
+
+
+def test_automaton_with_unknown_words():
+    own = wordpiece.Automaton(["ab", "abcd", "bc", "c", "cde"])
+    greedy = {"ab": 1, "abc": 2, "abcd": 1, "abcde": 1, "abbc": 2, "x": 1, "abx": 1, "cc": 2, "bcc": 2}
+    assert {w: own.count(w) for w in greedy} == greedy
