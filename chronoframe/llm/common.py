@@ -26,6 +26,21 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of ids up to this number are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The rows with a hint to broadcast them where they are few; they are counted first."""
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among the ids; null ids match null ids."""
+    gone = stored(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def partition_prefix(df: DataFrame, part: str, value: str, name: str) -> DataFrame:
     """For each value of `part` the sum of `value` over the smaller ones; the table has a row for each task that wrote."""
     sums = df.groupBy(part).agg(F.sum(value).alias("_s"))

@@ -10,15 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import stored
+from chronoframe.llm.common import bounded, stored
 
 SPAN, GRAM = 13, 8
-#: Fingerprints, and ids, up to this number are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
-
-
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
 def words_of(text: Column) -> Column:
@@ -84,16 +78,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # the outer form, since Spark derives a filter from the inner one and would compute the arrays twice
     # one row for each distinct print; only those that an item has come through the join
     all_prints = F.concat(*[_tagged(c, n) for c, n in kinds])
-    met = with_prints(texts).select("doc_id", "_key", F.explode_outer(all_prints).alias("p")).select("doc_id", "_key", "p.print", "p.span").join(_bounded(prints), ["print", "span"])
+    met = with_prints(texts).select("doc_id", "_key", F.explode_outer(all_prints).alias("p")).select("doc_id", "_key", "p.print", "p.span").join(bounded(prints), ["print", "span"])
     met = stored(met.groupBy("doc_id", "_key").agg(*[F.collect_set(F.when(F.col("span") == n, F.col("print"))).alias(f"met_{c}") for c, n in kinds]), "met")
-    near = texts.join(_bounded(met), ["doc_id", "_key"])
+    near = texts.join(bounded(met), ["doc_id", "_key"])
     starts = [F.transform(_starts(c), _window(n)) for c, n in kinds]
     hits = with_prints(near).select("doc_id", "_key", F.explode_outer(F.concat(*starts)).alias("w")).select("doc_id", "_key", "w.*")
-    hits = hits.join(_bounded(windows), ["window", "span"])
+    hits = hits.join(bounded(windows), ["window", "span"])
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "span")), lambda s: F.sequence(s["start"], s["start"] + s["span"] - 1))))
     found = hits.groupBy("doc_id", "_key").agg(F.size(covered).cast("bigint").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
     found = stored(found, "found")
-    rows = texts.select("doc_id", "_key", F.size(words_of(F.col("_text"))).cast("bigint").alias("n_words")).join(_bounded(found), ["doc_id", "_key"], "left")
+    rows = texts.select("doc_id", "_key", F.size(words_of(F.col("_text"))).cast("bigint").alias("n_words")).join(bounded(found), ["doc_id", "_key"], "left")
     items = F.coalesce("_items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return rows.select(
@@ -118,4 +112,4 @@ def _window(span: int):
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(_bounded(stored(bad, "contaminated")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")), "left_anti")
+    return docs.join(bounded(stored(bad, "contaminated")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")), "left_anti")

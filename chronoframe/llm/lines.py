@@ -13,14 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import stored
+from chronoframe.llm.common import bounded, stored
 
 #: Cells of the table of word frequencies; words share a cell by hash.  Its size bounds what is broadcast.
 CELLS = 1 << 18
 #: Lines with fewer words are never removed.
 LEAST_WORDS = 5
-#: Ids up to this number are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 PERCENT = 80
 
 
@@ -67,11 +65,6 @@ def line_sets(docs: DataFrame, table: bytes) -> DataFrame:
     return rows.select("doc_id", "line", F.col("x.keys").alias("keys"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """The rows with a hint to broadcast them, if they are few."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
-
-
 def similar(inter, na, nb):
     return 100 * inter >= PERCENT * (na + nb - inter)
 
@@ -99,7 +92,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     many = stored(many.select("key", "at", "n", "pos", "lead"), "shared")
     star = many.where(F.col("lead.at") < F.col("at")).select(F.col("at").alias("b"), F.col("lead.at").alias("a")).distinct()
     found = stored(_verified(star, docs, table), "matched")
-    left = many.join(_bounded(found.select(F.col("b").alias("at"))), "at", "left_anti")
+    left = many.join(bounded(found.select(F.col("b").alias("at"))), "at", "left_anti")
     x, y = many.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), left.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     least, most = F.least("na", "nb"), F.greatest("na", "nb")
     # what the two can share: what stands before the common word, the word, and what stands after it
@@ -116,8 +109,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, table: bytes) -> DataFrame:
     """(b) for each b that some pair (a, b) shows to match: exact intersection of the sorted sets."""
     pairs = stored(pairs, "pairs")
     needed = pairs.select("a.doc_id", "a.line").unionByName(pairs.select("b.doc_id", "b.line")).distinct()
-    texts = docs.join(_bounded(needed.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = stored(line_sets(texts, table).join(_bounded(needed), ["doc_id", "line"], "left_semi").select(F.struct("doc_id", "line").alias("at"), "keys"), "needed")
+    texts = docs.join(bounded(needed.select("doc_id").distinct()), "doc_id", "left_semi")
+    sets = stored(line_sets(texts, table).join(bounded(needed), ["doc_id", "line"], "left_semi").select(F.struct("doc_id", "line").alias("at"), "keys"), "needed")
     both = pairs.join(sets.select(F.col("at").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("at").alias("b"), F.col("keys").alias("kb")), "b")
     inter = F.size(F.array_intersect("ka", "kb"))
     return both.where(similar(inter, F.size("ka"), F.size("kb"))).select("b").distinct()
