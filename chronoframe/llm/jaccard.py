@@ -4,9 +4,10 @@ Equal shingle sets are put together first.  The shingles of a set are ordered fr
 (by a table of hashed counts over the corpus); two sets of similarity 0.8 or more share one of the
 first n - ceil(0.8 n) + 1 of each, so sets that share such a shingle make a tile, ordered by size.
 
-A tile is worked off in two rounds.  First each set is held against the leader of its size band, and
-the links found are joined to components.  Then only sets outside the tile's main component are held
-against the others, in blocks.  In both rounds a bitmap of shingle parities goes before the exact
+A tile is worked off in rounds.  First each set is held against the most similar of a few leaders of
+its tiles, and the links found are joined to components; then so are sets outside the main component
+of a tile against leaders in it.  At last the sets that are still outside are held against all others
+of the tile, in blocks, so that every pair is linked, refuted or within one component.  In each round a bitmap of shingle parities goes before the exact
 test: of sets of n and m shingles whose bitmaps differ in d bits at most (n + m - d) / 2 shingles are
 shared.  What passes is decided by the intersection of the sorted shingle arrays.  A group of near
 copies thus costs a few comparisons for each member, and no link between different sets is lost.
@@ -30,6 +31,9 @@ WORDS, PERCENT = 5, 80
 CELLS, PART = 1 << 20, 1 << 14
 #: Members of a tile block, and of the smaller side of a pair of blocks.
 BLOCK, SIDE = 512, 256
+#: Orders of all sets, in which leaders are the first of their tile; and rounds of leaders.
+_ORDERS = W.mix(np.arange(1, 5, dtype=np.uint64))
+ROUNDS = 3
 #: Bits of the filter of ids whose shingles are needed; when it is full it only lets more through.
 FILTER_BITS = 1 << 26
 
@@ -138,47 +142,45 @@ def _heads(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def _tiles(rows: DataFrame) -> DataFrame:
-    """(tile, sids, leads): the sets that share a shingle, in blocks by size, with each one's leader.
+    """(tile, sids, leads): the sets that share a shingle, in blocks by size, and the leaders of the block.
 
-    Rows come sorted by shingle and size, so that a task holds one block of a group at a time.  A
-    leader leads those of at most 1.25 times its size.  Groups of one block that have the same members
-    are one tile; the blocks of a larger group bear the shingle as their tile number.
+    Rows come sorted by shingle and size, so that a task holds one block of a group at a time.  The
+    leaders come first in a few fixed orders of all sets, so that tiles with like members have like
+    leaders; the next block also has the last leader of this one.  Groups of one block that have the same members are
+    one tile; the blocks of a larger group bear the shingle as their tile number.
     """
 
     def run(batches):
         seen: set[bytes] = set()
         out: list[tuple] = []
-        key = None  # of the group at hand: its rest of members, leaders, and whether a block has gone
+        key = None  # of the group at hand: its rest of members, whether a block has gone, and its leader
         sids: list[int] = []
-        leads: list[int] = []
-        lead, lead_n, gone = 0, 0, False
-
-        def close():
-            nonlocal sids, leads
-            if gone:
-                out.append((key, sids, leads))
-            elif len(sids) > 1:
-                name = np.array(sids, dtype=np.int64).tobytes()
-                if name not in seen:
+        gone: list[int] = []
+
+        def close(whole):
+            nonlocal sids, gone
+            if len(sids) + len(gone) > 1:
+                own = np.array(sids, dtype=np.int64)
+                leads = [sids[int(np.argmin(W.mix(own.view(np.uint64) ^ salt)))] for salt in _ORDERS]
+                if not whole or gone:
+                    out.append((key, sids, list(dict.fromkeys(gone + leads))))
+                elif own.tobytes() not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
-                    seen.add(name)
-                    out.append((None, sids, leads))
-            sids, leads = [], []
+                    seen.add(own.tobytes())
+                    out.append((None, sids, list(dict.fromkeys(leads))))
+                gone = [] if whole else leads[-1:]
+            sids = []
 
-        def put(k, n, s):
-            nonlocal key, sids, leads, lead, lead_n, gone
+        def put(k, s):
+            nonlocal key, gone
             if k != key:
                 if sids:
-                    close()
-                key, lead, lead_n, gone = k, s, n, False
-            elif n * PERCENT > lead_n * 100:
-                lead, lead_n = s, n
+                    close(True)
+                key, gone = k, []
             if len(sids) == BLOCK:
-                gone = True
-                close()
+                close(False)
             sids.append(s)
-            leads.append(lead)
 
         def flush():
             nonlocal out
@@ -188,29 +190,29 @@ def _tiles(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["tile", "sids", "leads"])
 
         for batch in batches:
-            k, n, s = (batch.column(c).to_numpy() for c in ("key", "n", "sid"))
+            k, s = (batch.column(c).to_numpy() for c in ("key", "sid"))
             alone = np.ones(len(k), dtype=bool)  # rows whose shingle is not that of a neighbour
             if len(k):
                 alone[1:] &= k[1:] != k[:-1]
                 alone[:-1] &= k[:-1] != k[1:]
                 alone[0] = alone[-1] = False  # the group may go on in another batch
             for i in np.flatnonzero(~alone).tolist():
-                put(int(k[i]), int(n[i]), int(s[i]))
+                put(int(k[i]), int(s[i]))
             if len(out) > 2000:
                 yield flush()
         if sids:
-            close()
+            close(True)
         yield flush()
 
     return rows.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(run, "tile bigint, sids array<bigint>, leads array<bigint>")
 
 
 def _near_bits(batches):
-    """Pairs whose bitmaps leave room for enough shared shingles."""
+    """Pairs whose bitmaps leave room for enough shared shingles, and how much more room there is."""
     for batch in batches:
         a, b = batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()
         na, nb = batch.column("na").to_pylist(), batch.column("nb").to_pylist()
-        good = []
+        good, room = [], []
         for x, y, n, m in zip(a, b, na, nb, strict=True):
             x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
             while len(x) > len(y):
@@ -218,8 +220,10 @@ def _near_bits(batches):
             while len(y) > len(x):
                 y = fold(y)
             d = int(np.bitwise_count(x ^ y).sum())
-            good.append(100 * min(n, m) >= PERCENT * max(n, m) and n + m - d >= 2 * _needed_share(n, m))
-        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            room.append(n + m - d - 2 * _needed_share(n, m))
+            good.append(100 * min(n, m) >= PERCENT * max(n, m) and room[-1] >= 0)
+        both = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(room, pa.int64())], names=["a", "b", "room"])
+        yield both.filter(pa.array(good, pa.bool_()))
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -277,6 +281,12 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return stored(both.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint"), "links")
 
 
+def _main_labels(members: DataFrame) -> DataFrame:
+    """(tile, main, all, most) of tiles with more than one component: the commonest, and how many members there are in all and in it."""
+    labels = members.groupBy("tile", "label").agg(F.count("*").alias("c"))
+    return labels.groupBy("tile").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("all"), F.max("c").alias("most")).where("k > 1").drop("k")
+
+
 def _block_pairs(members: DataFrame) -> DataFrame:
     """Pairs of different components in a tile that bitmaps and sizes allow.
 
@@ -284,9 +294,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     every other pair has a member outside it.  Those members, in sides of SIDE, meet all members, in
     blocks of BLOCK.
     """
-    labels = members.groupBy("tile", "label").agg(F.count("*").alias("c"))
-    mixed = labels.groupBy("tile").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("k"), F.sum("c").alias("all"), F.max("c").alias("most")).where("k > 1")
-    mixed = mixed.select("tile", "main", F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("us"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ms"))
+    mixed = _main_labels(members).select("tile", "main", F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("us"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ms"))
     rows = members.join(mixed, "tile")
     # a member's side or block follows from its number, spread by hash
     place = F.pmod(F.xxhash64("sid"), F.col("ms")).cast("int")
@@ -357,22 +365,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marks = heads.select("sid", "n", "bits")
     tiles = stored(_tiles(heads.select("n", "sid", F.explode_outer("head").alias("key"))).dropDuplicates(["tile", "sids"]), "tiles")
 
-    def with_bits(pairs: DataFrame) -> DataFrame:
+    def best(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) that bitmaps allow, the most similar b for each a, as (least, greatest)."""
         for p in "ab":
             pairs = pairs.join(marks.select(F.col("sid").alias(p), F.col("n").alias(f"n{p}"), F.col("bits").alias(f"bits_{p}")), p)
-        return pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_near_bits, "a bigint, b bigint")
-
-    ab = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    zipped = tiles.select(F.explode(F.arrays_zip("sids", "leads")).alias("x")).where("x.sids <> x.leads")
-    star = zipped.select(*ab("x.sids", "x.leads")).distinct()
-    star = stored(with_bits(star), "star")
-    links = _links(star, texts)
-    labels = connected_components(links)
+        near = pairs.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_near_bits, "a bigint, b bigint, room bigint")
+        chosen = near.groupBy("a").agg(F.max_by("b", F.struct("room", "b")).alias("b"))
+        return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     tile = F.coalesce("tile", F.xxhash64("sids"))
-    members = tiles.select(tile.alias("tile"), F.explode("sids").alias("sid")).distinct()
-    members = members.join(stored(labels, "labels").select(F.col("node").alias("sid"), "component"), "sid", "left").join(marks, "sid")
-    members = stored(members.select("tile", "sid", "n", "bits", F.coalesce("component", "sid").alias("label")), "members")
-    rest = _block_pairs(members).join(star, ["a", "b"], "left_anti")
+    plain = stored(tiles.select(tile.alias("tile"), F.explode("sids").alias("sid")).distinct(), "plain")
+    star = tiles.select("leads", F.explode("sids").alias("a")).select("a", F.explode("leads").alias("b")).where("a <> b").distinct()
+    tested = stored(best(star), "star")
+    links = _links(tested, texts)
+    for turn in range(ROUNDS):
+        labels = stored(connected_components(links).select(F.col("node").alias("sid"), "component"), "labels")
+        named = plain.join(labels, "sid", "left").select("tile", "sid", F.coalesce("component", "sid").alias("label"))
+        if turn == ROUNDS - 1:
+            break
+        main = _main_labels(named)
+        first = [F.min(F.struct(F.xxhash64("sid", F.lit(10 * turn + i)), "sid"))["sid"] for i in range(2)]
+        leads = named.join(main, "tile").where("label = main").groupBy("tile").agg(*[x.alias(f"l{i}") for i, x in enumerate(first)])
+        outside = named.join(main, "tile").where("label <> main").select("tile", F.col("sid").alias("a"))
+        star = outside.join(leads, "tile").select("a", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("b")).distinct()
+        known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        new = stored(best(star.join(known, ["a", "b"], "left_anti")), "star")
+        found = _links(new, texts)
+        tested, links = tested.unionByName(new), links.unionByName(found)
+    members = stored(named.join(marks, "sid").select("tile", "sid", "n", "bits", "label"), "members")
+    rest = _block_pairs(members).join(tested, ["a", "b"], "left_anti")
     links = links.unionByName(_links(rest, texts))
     groups = connected_components(links)
     first = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
