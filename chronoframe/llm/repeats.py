@@ -3,8 +3,9 @@
 Of the 50-byte strings of all documents only those can be repeated whose key is: the least hash of
 the 16-byte grams in them.  Neighbouring strings with one key are kept together as a stretch of text.
 A bit table of fixed size, filled from all documents, tells which keys more than one document may
-have; stretches with such keys go to shards by key, equal stretches of a task once.  A shard sorts the
-suffixes of its stretches by induction and finds, for each string, the least document that has it.
+have; stretches with such keys go to shards by key, equal stretches of a task once.  Documents whose whole text is that of an earlier one are found first and stay
+out of this.  A shard takes equal stretches as one, sorts the suffixes of those whose key others
+have as well by induction, and finds, for each string, the least document that has it.
 The answers go back to the task's own list of places, so that no shard holds the places of a passage
 that very many documents share.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm import wordhash as W
-from chronoframe.llm.common import stored
+from chronoframe.llm.common import bounded, stored
 
 LENGTH, GRAM = 50, 16
 #: Bits of the table of keys, and how many are sent at once; a fuller table only lets more through.
@@ -214,6 +215,9 @@ def least_owners(pieces: np.ndarray, lengths: np.ndarray, owners: np.ndarray) ->
 
     Strings of a piece with one answer are given together.
     """
+    if not len(lengths):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
     n = len(pieces) + len(lengths)
     text = np.zeros(n + 1, np.int16)
     ends = np.cumsum(lengths + 1)
@@ -331,7 +335,7 @@ def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 f = first[a:b]
                 where = np.repeat(begin[f] - (np.cumsum(length[f]) - length[f]), length[f]) + np.arange(length[f].sum())
-                rows.append((0, number, int(at[a]), _pack(np.array([a]), length[f].astype("<i4"), least[a:b], most[a:b], data[where])))
+                rows.append((0, number, int(at[a]), _pack(np.array([a]), length[f].astype("<i4"), least[a:b], most[a:b], data[where], key[f])))
             kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "batch", "shard", "blob"])
 
@@ -356,14 +360,33 @@ def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
     return texts.mapInArrow(run, "kind int, batch bigint, shard int, blob binary")
 
 
-def _answers(sent: DataFrame) -> DataFrame:
+def _answers(sent: DataFrame, shards: int) -> DataFrame:
     """For each batch the strings of its stretches that an earlier document has: (kind 0, batch, blob)."""
 
     def one(rows):
         heads = [_unpack(blob) for _, blob in rows]
         lengths = np.concatenate([h[1] for h in heads]).astype(np.int64)
-        least, most = (np.concatenate([h[i] for h in heads]) for i in (2, 3))
-        piece, begin, end, owner = least_owners(np.concatenate([h[4] for h in heads]), lengths, least)
+        least, most, data, key = (np.concatenate([h[i] for h in heads]) for i in (2, 3, 4, 5))
+        # equal stretches of all batches are one, with the least of their owners
+        ends = np.cumsum(lengths)
+        marks = W.mix(W.word_hashes(data, ends - lengths, ends, W.SAME) ^ lengths.astype(np.uint64))
+        _, first, same = np.unique(marks, return_index=True, return_inverse=True)
+        owners = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(owners, same, least)
+        # a stretch that is the only one of its key shares no string with another
+        _, back, count = np.unique(key[first], return_inverse=True, return_counts=True)
+        sort = np.flatnonzero(count[back] > 1)
+        many = first[sort]
+        where = np.repeat((ends - lengths)[many] - (np.cumsum(lengths[many]) - lengths[many]), lengths[many]) + np.arange(lengths[many].sum())
+        piece, begin, end, owner = least_owners(data[where], lengths[many], owners[sort])
+        alone = np.flatnonzero(count[back] == 1)
+        piece, begin, end, owner = (np.concatenate(x) for x in ((sort[piece], alone), (begin, np.zeros(len(alone), np.int64)), (end, lengths[first[alone]] - LENGTH + 1), (owner, owners[alone])))
+        # the answers of each stretch as it was sent
+        order = np.argsort(piece, kind="stable")
+        piece, begin, end, owner = piece[order], begin[order], end[order], owner[order]
+        low, high = np.searchsorted(piece, same, "left"), np.searchsorted(piece, same, "right")
+        which = np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low) + np.arange((high - low).sum())
+        piece, begin, end, owner = np.repeat(np.arange(len(same)), high - low), begin[which], end[which], owner[which]
         useful = owner < most[piece]
         piece, begin, end, owner = piece[useful], begin[useful], end[useful], owner[useful]
         counts = np.array([len(h[1]) for h in heads])
@@ -390,7 +413,7 @@ def _answers(sent: DataFrame) -> DataFrame:
         if rows:
             yield one(rows)
 
-    return sent.select("shard", "batch", "blob").repartition("shard").sortWithinPartitions("shard", "batch").mapInArrow(run, "kind int, batch bigint, blob binary")
+    return sent.select("shard", "batch", "blob").repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(run, "kind int, batch bigint, blob binary")
 
 
 def _covered(places: DataFrame, answers: DataFrame) -> DataFrame:
@@ -430,16 +453,12 @@ def _covered(places: DataFrame, answers: DataFrame) -> DataFrame:
     return both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "doc_id bigint, spans binary")
 
 
-def _cut(docs: DataFrame, covered: DataFrame) -> DataFrame:
-    """Joins the spans to the documents: adds _data, the text's bytes, and _spans, a list of blobs or null."""
-    spans = covered.groupBy("doc_id").agg(F.collect_list("spans").alias("_spans"))
-    return docs.join(spans, "doc_id", "left")
-
-
 def kept_parts(size: int, blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends of the maximal removed runs."""
-    if not blobs:
+    if not blobs or (b"" in blobs and size < LENGTH):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if b"" in blobs:  # an earlier document has the whole text
+        return np.zeros(1, np.int64), np.full(1, size)
     found = [_unpack(x) for x in blobs]
     depth = np.zeros(size + 1, np.int32)
     np.add.at(depth, np.concatenate([f[0] for f in found]), 1)
@@ -449,12 +468,20 @@ def kept_parts(size: int, blobs: list[bytes] | None) -> tuple[np.ndarray, np.nda
     return edges[::2], edges[1::2]
 
 
-def covered_spans(docs: DataFrame) -> DataFrame:
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).where("doc_id IS NOT NULL")
+def equal_texts(docs: DataFrame) -> DataFrame:
+    """The ids of documents whose whole text an earlier document has; groups are combined before the shuffle."""
+    rows = docs.select("doc_id", F.sha2(F.encode(F.coalesce("_text", F.lit("")), "UTF-8"), 256).alias("_sha"))
+    first = rows.groupBy("_sha").agg(F.min("doc_id").alias("_first"))
+    return rows.join(first, "_sha").where("doc_id > _first").select("doc_id").distinct()
+
+
+def covered_spans(texts: DataFrame) -> DataFrame:
+    """(doc_id, spans) for documents (doc_id, _text) without equal texts under different ids."""
     table, total = _key_table(texts)
-    sent = stored(_candidates(texts, table, max(8, -(-total // SHARD))), "stretches")
-    answers = _answers(sent.where("kind = 0"))
-    return stored(_covered(sent.where("kind = 1"), answers), "covered")
+    shards = max(8, -(-total // SHARD))
+    sent = stored(_candidates(texts, table, shards), "stretches")
+    answers = _answers(sent.where("kind = 0"), shards)
+    return _covered(sent.where("kind = 1"), answers)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -479,4 +506,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    return _cut(rows, covered_spans(docs)).mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).where("doc_id IS NOT NULL")
+    copies = stored(equal_texts(texts), "copies")
+    own = texts.join(bounded(copies), "doc_id", "left_anti")
+    spans = covered_spans(own).unionByName(copies.select("doc_id", F.lit(b"").alias("spans")))
+    spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("_spans"))
+    return rows.join(spans, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
