@@ -5,7 +5,7 @@ similarity 0.8 or more then share a word among the first n - ceil(0.8 n) + 1 of
 are put together first.  Prefix rows meet by word; rows whose word no other line has go at once.
 The others are first held against the earliest line of their word and size; only lines that this
 leaves without a match are then held against all earlier lines of their words, under the length and
-positional filters.  So a large group of near copies costs about one comparison for each of them.
+positional filters, and a bound from 64 parity bits of each set.  So a large group of near copies costs about one comparison for each of them.
 """
 
 from __future__ import annotations
@@ -69,6 +69,17 @@ def similar(inter, na, nb):
     return 100 * inter >= PERCENT * (na + nb - inter)
 
 
+def parities(keys):
+    """64 bits: in each the parity of the number of keys that fall there."""
+    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def may_match(na, nb, bits_a, bits_b):
+    """False where sizes, or bits that differ, leave too few words to share: at most (na + nb - differing) / 2 are shared."""
+    best = F.floor((na + nb - F.bit_count(bits_a.bitwiseXOR(bits_b))) / 2)
+    return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & similar(best, na, nb)
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line) of the lines that match an earlier line, in the order of doc_id and line.
 
@@ -79,25 +90,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     table = rarity(docs)
     sets = line_sets(docs, table)
     prefix = F.size("keys") - F.ceil(F.lit(PERCENT) * F.size("keys") / 100).cast("int") + 1
-    each = sets.select(F.xxhash64("keys").alias("set"), F.size("keys").alias("n"), "doc_id", "line", F.slice("keys", 1, prefix).alias("head"))
+    each = sets.select(F.xxhash64("keys").alias("set"), F.size("keys").alias("n"), "doc_id", "line", F.slice("keys", 1, prefix).alias("head"), parities("keys").alias("bits"))
     # one row for each distinct set, with its first line; copies are combined before the shuffle
-    each = stored(each.select("set", "n", "doc_id", "line", "head"), "lines")
-    first = stored(each.groupBy("set", "n").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("head").alias("head")), "sets")
+    each = stored(each.select("set", "n", "doc_id", "line", "head", "bits"), "lines")
+    first = stored(each.groupBy("set", "n").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("head").alias("head"), F.first("bits").alias("bits")), "sets")
     copies = each.join(first.select("set", "n", "at"), ["set", "n"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
-    rows = first.where("n > 1").select("at", "n", F.posexplode("head").alias("pos", "key"))
+    rows = first.where("n > 1").select("at", "n", "bits", F.posexplode("head").alias("pos", "key"))
     by_size = Window.partitionBy("key", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
-    many = rows.withColumn("band", band).withColumn("lead", F.first(F.struct("at", "n")).over(by_size))
+    many = rows.withColumn("band", band).withColumn("lead", F.first(F.struct("at", "n", "bits")).over(by_size))
     many = many.withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1")
-    many = stored(many.select("key", "at", "n", "pos", "lead"), "shared")
-    star = many.where(F.col("lead.at") < F.col("at")).select(F.col("at").alias("b"), F.col("lead.at").alias("a")).distinct()
+    many = stored(many.select("key", "at", "n", "bits", "pos", "lead"), "shared")
+    star = many.where((F.col("lead.at") < F.col("at")) & may_match(F.col("lead.n"), F.col("n"), F.col("lead.bits"), F.col("bits"))).select(F.col("at").alias("b"), F.col("lead.at").alias("a")).distinct()
     found = stored(_verified(star, docs, table), "matched")
     left = many.join(bounded(found.select(F.col("b").alias("at"))), "at", "left_anti")
-    x, y = many.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa")), left.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    x, y = many.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("pos").alias("pa")), left.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("pos").alias("pb"))
     # what the two can share: what stands before the common word, the word, and what stands after it
     best = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    close = (100 * least >= PERCENT * most) & similar(best, F.col("na"), F.col("nb"))
+    close = may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb")) & similar(best, F.col("na"), F.col("nb"))
     pairs = y.join(x, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     pairs = pairs.join(star, ["a", "b"], "left_anti")
     more = _verified(stored(pairs, "pairs"), docs, table)
