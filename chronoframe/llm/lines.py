@@ -22,11 +22,25 @@ LEAST_WORDS = 5
 PERCENT = 80
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, words): line numbers from 0, words in lower case A-Z as written, repeats included."""
-    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    rows = docs.select("doc_id", F.posexplode_outer(F.split(text, "\n")).alias("line", "_line"))
-    return rows.select("doc_id", "line", F.array_remove(F.split("_line", r"[\x20\x09-\x0D]+"), "").alias("words"))
+def raw_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, _line): line numbers from 0, and the lines as written; a null text is one empty line."""
+    return docs.select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "_line"))
+
+
+def words_of(line):
+    """Words of a line with A-Z in lower case, repeats included; empty strings may stand at its ends."""
+    few = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # where all characters are ASCII, lower() changes just A-Z, and faster
+    return F.split(F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(few), r"[\x20\x09-\x0D]+")
+
+
+def distinct_hashes(words):
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def lines_of(lines: DataFrame) -> DataFrame:
+    """(doc_id, line, words) from the raw lines."""
+    return lines.select("doc_id", "line", F.array_remove(words_of(F.col("_line")), "").alias("words"))
 
 
 def rarity(docs: DataFrame, cells: int = CELLS) -> bytes:
@@ -34,8 +48,7 @@ def rarity(docs: DataFrame, cells: int = CELLS) -> bytes:
 
     Any order that all lines share gives a right result; this one only has to put frequent words last.
     """
-    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = docs.select(F.explode_outer(F.split(text, r"[\x20\x09-\x0D]+")).alias("w"))
+    words = raw_lines(docs).select(F.explode(words_of(F.col("_line"))).alias("w"))
     counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).cast("int").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
     table = bytearray(cells)
     found = counts.select("c", (F.length(F.bin("n"))).alias("n")).toArrow()  # at most `cells` rows
@@ -45,11 +58,10 @@ def rarity(docs: DataFrame, cells: int = CELLS) -> bytes:
 
 
 def _ranked(table: bytes):
-    """A word's key: its frequency class in the high bits, its hash below, so that keys sort from rare to frequent."""
+    """The key of a word's hash: its frequency class in the high bits, the hash below, so that keys sort from rare to frequent."""
     lit = F.lit(table)
 
-    def key(w):
-        h = F.xxhash64(w)
+    def key(h):
         rank = F.ascii(F.substring(lit, h.bitwiseAND(F.lit(len(table) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
         return F.shiftleft(rank.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
@@ -58,15 +70,15 @@ def _ranked(table: bytes):
 
 def line_sets(docs: DataFrame, table: bytes) -> DataFrame:
     """(doc_id, line, keys): the distinct keys of each line of at least LEAST_WORDS words, rare ones first."""
-    keys = F.sort_array(F.array_distinct(F.transform("words", _ranked(table))))
+    keys = F.sort_array(F.array_distinct(F.transform(distinct_hashes("words"), _ranked(table))))
     # a generator around the sets: a plain filter would go below them and compute them twice
     long = F.filter(F.array(F.struct(F.size("words").alias("n"), keys.alias("keys"))), lambda x: x["n"] >= LEAST_WORDS)
-    rows = lines_of(docs).select("doc_id", "line", F.explode_outer(long).alias("x")).where("x IS NOT NULL")
+    rows = lines_of(raw_lines(docs)).select("doc_id", "line", F.explode_outer(long).alias("x")).where("x IS NOT NULL")
     return rows.select("doc_id", "line", F.col("x.keys").alias("keys"))
 
 
 def similar(inter, na, nb):
-    return 100 * inter >= PERCENT * (na + nb - inter)
+    return (100 + PERCENT) * inter >= PERCENT * (na + nb)  # 100 * inter >= PERCENT * union, with one use of inter
 
 
 def parities(keys):
@@ -93,16 +105,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     each = sets.select(F.xxhash64("keys").alias("set"), F.size("keys").alias("n"), "doc_id", "line", F.slice("keys", 1, prefix).alias("head"), parities("keys").alias("bits"))
     # one row for each distinct set, with its first line; copies are combined before the shuffle
     each = stored(each.select("set", "n", "doc_id", "line", "head", "bits"), "lines")
-    first = stored(each.groupBy("set", "n").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("head").alias("head"), F.first("bits").alias("bits")), "sets")
-    copies = each.join(first.select("set", "n", "at"), ["set", "n"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
+    first = stored(each.groupBy("set", "n").agg(F.count("*").alias("equal"), F.min(F.struct("doc_id", "line")).alias("at"), F.first("head").alias("head"), F.first("bits").alias("bits")), "sets")
+    copies = each.select("set", "n", "doc_id", "line").join(bounded(first.where("equal > 1").select("set", "n", "at")), ["set", "n"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
     rows = first.where("n > 1").select("at", "n", "bits", F.posexplode("head").alias("pos", "key"))
     by_size = Window.partitionBy("key", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
-    many = rows.withColumn("band", band).withColumn("lead", F.first(F.struct("at", "n", "bits")).over(by_size))
-    many = many.withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1")
+    # by key first: the rows then lie right for the window by key and band as well, without a second shuffle
+    many = rows.withColumn("band", band).withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1")
+    many = many.withColumn("lead", F.first(F.struct("at", "n", "bits")).over(by_size))
     many = stored(many.select("key", "at", "n", "bits", "pos", "lead"), "shared")
     star = many.where((F.col("lead.at") < F.col("at")) & may_match(F.col("lead.n"), F.col("n"), F.col("lead.bits"), F.col("bits"))).select(F.col("at").alias("b"), F.col("lead.at").alias("a")).distinct()
-    found = stored(_verified(star, docs, table), "matched")
+    found = stored(_verified(star, docs), "matched")
     left = many.join(bounded(found.select(F.col("b").alias("at"))), "at", "left_anti")
     x, y = many.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("pos").alias("pa")), left.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("pos").alias("pb"))
     # what the two can share: what stands before the common word, the word, and what stands after it
@@ -110,20 +123,22 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     close = may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb")) & similar(best, F.col("na"), F.col("nb"))
     pairs = y.join(x, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     pairs = pairs.join(star, ["a", "b"], "left_anti")
-    more = _verified(stored(pairs, "pairs"), docs, table)
+    more = _verified(pairs, docs)
     near = found.select("b").unionByName(more.select("b")).distinct().select("b.doc_id", "b.line")
     return copies.unionByName(near).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, table: bytes) -> DataFrame:
-    """(b) for each b that some pair (a, b) shows to match: exact intersection of the sorted sets."""
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(b) for each b that some pair (a, b) shows to match: exact intersection of the sets of word hashes."""
     pairs = stored(pairs, "pairs")
-    needed = pairs.select("a.doc_id", "a.line").unionByName(pairs.select("b.doc_id", "b.line")).distinct()
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*"), "needed")
     texts = docs.join(bounded(needed.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = stored(line_sets(texts, table).join(bounded(needed), ["doc_id", "line"], "left_semi").select(F.struct("doc_id", "line").alias("at"), "keys"), "needed")
-    both = pairs.join(sets.select(F.col("at").alias("a"), F.col("keys").alias("ka")), "a").join(sets.select(F.col("at").alias("b"), F.col("keys").alias("kb")), "b")
-    inter = F.size(F.array_intersect("ka", "kb"))
-    return both.where(similar(inter, F.size("ka"), F.size("kb"))).select("b").distinct()
+    # only the lines of pairs are split into words
+    lines = lines_of(raw_lines(texts).join(bounded(needed), ["doc_id", "line"], "left_semi"))
+    sets = stored(lines.select(F.struct("doc_id", "line").alias("at"), distinct_hashes("words").alias("words")), "words")
+    both = pairs.join(sets.select(F.col("at").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("at").alias("b"), F.col("words").alias("wb")), "b")
+    inter = F.size(F.array_intersect("wa", "wb"))
+    return both.where(similar(inter, F.size("wa"), F.size("wb"))).select("b").distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
