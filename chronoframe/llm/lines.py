@@ -17,8 +17,8 @@ from chronoframe.llm.common import bounded, stored
 
 #: Cells of the table of word frequencies; words share a cell by hash.  Its size bounds what is broadcast.
 CELLS = 1 << 18
-#: Lines with fewer words are never removed.
-LEAST_WORDS = 5
+#: Lines with fewer words are never removed by op8 and the pipeline: only lines without words stay out.
+LEAST_WORDS = 1
 PERCENT = 80
 
 
@@ -68,11 +68,11 @@ def _ranked(table: bytes):
     return key
 
 
-def line_sets(docs: DataFrame, table: bytes) -> DataFrame:
-    """(doc_id, line, keys): the distinct keys of each line of at least LEAST_WORDS words, rare ones first."""
+def line_sets(docs: DataFrame, table: bytes, least: int) -> DataFrame:
+    """(doc_id, line, keys): the distinct keys of each line of at least `least` words, rare ones first."""
     keys = F.sort_array(F.array_distinct(F.transform(distinct_hashes("words"), _ranked(table))))
     # a generator around the sets: a plain filter would go below them and compute them twice
-    long = F.filter(F.array(F.struct(F.size("words").alias("n"), keys.alias("keys"))), lambda x: x["n"] >= LEAST_WORDS)
+    long = F.filter(F.array(F.struct(F.size("words").alias("n"), keys.alias("keys"))), lambda x: x["n"] >= least)
     rows = lines_of(raw_lines(docs)).select("doc_id", "line", F.explode_outer(long).alias("x")).where("x IS NOT NULL")
     return rows.select("doc_id", "line", F.col("x.keys").alias("keys"))
 
@@ -92,22 +92,23 @@ def may_match(na, nb, bits_a, bits_b):
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & similar(best, na, nb)
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line) of the lines that match an earlier line, in the order of doc_id and line.
+def removed_lines(docs: DataFrame, least: int = 5) -> DataFrame:
+    """(doc_id, line) of the lines of at least `least` words that match an earlier one, in the order of doc_id and line.
 
     Matches are judged on the input, so a removed line still removes later ones.  Null texts have no
     lines of words.  Documents that share an id are taken as one whose line n is removed if line n of
     any of them is.  Lines of equal words in another order or number are equal.
     """
     table = rarity(docs)
-    sets = line_sets(docs, table)
+    sets = line_sets(docs, table, least)
     prefix = F.size("keys") - F.ceil(F.lit(PERCENT) * F.size("keys") / 100).cast("int") + 1
     each = sets.select(F.xxhash64("keys").alias("set"), F.size("keys").alias("n"), "doc_id", "line", F.slice("keys", 1, prefix).alias("head"), parities("keys").alias("bits"))
     # one row for each distinct set, with its first line; copies are combined before the shuffle
     each = stored(each.select("set", "n", "doc_id", "line", "head", "bits"), "lines")
     first = stored(each.groupBy("set", "n").agg(F.count("*").alias("equal"), F.min(F.struct("doc_id", "line")).alias("at"), F.first("head").alias("head"), F.first("bits").alias("bits")), "sets")
     copies = each.select("set", "n", "doc_id", "line").join(bounded(first.where("equal > 1").select("set", "n", "at")), ["set", "n"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
-    rows = first.where("n > 1").select("at", "n", "bits", F.posexplode("head").alias("pos", "key"))
+    # n / (n + 1) is below the threshold for smaller sets: only equal ones match them
+    rows = first.where(F.col("n") * (100 - PERCENT) >= PERCENT).select("at", "n", "bits", F.posexplode("head").alias("pos", "key"))
     by_size = Window.partitionBy("key", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
     # by key first: the rows then lie right for the window by key and band as well, without a second shuffle
@@ -141,13 +142,15 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(similar(inter, F.size("wa"), F.size("wb"))).select("b").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
     """The documents without their removed lines; other columns pass, `n_chars` (if there) is counted anew.
 
+    Lines of fewer than `least` words stay; op8 and the pipeline pass LEAST_WORDS.
+
     Adds n_lines and n_removed.  A null text stays null, and has no lines.  A document keeps its row
     even when all its lines go; its text is then empty.
     """
-    gone = removed_lines(docs).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
+    gone = removed_lines(docs, least).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
     rows = docs.join(gone, "doc_id", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")

@@ -56,7 +56,7 @@ def op9(spark, sf_dir):
 @query("op8_line_dedup")
 def op8(spark, sf_dir):
     """Line counts and the checksum of what stays of each document."""
-    kept = lines.dedup_lines(documents(spark, sf_dir))
+    kept = lines.dedup_lines(documents(spark, sf_dir), lines.LEAST_WORDS)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
