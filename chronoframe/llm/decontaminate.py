@@ -59,7 +59,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A word is hit when it lies in an occurrence of a 13-word window of an item; an item of fewer words
     is one window.  A document is contaminated when words are hit and they are a twentieth of its
     words or more.  Null and empty texts have no words and no hits.  Documents that share an id are
-    told apart by their text; repeated rows get equal results.  Extra columns are left out.
+    told apart by their text, as are those without an id; repeated rows get equal results.  Extra columns
+    are left out.
     """
     windows = stored(item_windows(benchmark), "windows")
     shorter = sorted(r[0] for r in windows.where(F.col("span") < SPAN).select("span").distinct().collect())  # at most 12 numbers
@@ -80,14 +81,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     all_prints = F.concat(*[_tagged(c, n) for c, n in kinds])
     met = with_prints(texts).select("doc_id", "_key", F.explode_outer(all_prints).alias("p")).select("doc_id", "_key", "p.print", "p.span").join(bounded(prints), ["print", "span"])
     met = stored(met.groupBy("doc_id", "_key").agg(*[F.collect_set(F.when(F.col("span") == n, F.col("print"))).alias(f"met_{c}") for c, n in kinds]), "met")
-    near = texts.join(bounded(met), ["doc_id", "_key"])
+    near = _joined(texts, met, "inner")
     starts = [F.transform(_starts(c), _window(n)) for c, n in kinds]
     hits = with_prints(near).select("doc_id", "_key", F.explode_outer(F.concat(*starts)).alias("w")).select("doc_id", "_key", "w.*")
     hits = hits.join(bounded(windows), ["window", "span"])
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "span")), lambda s: F.sequence(s["start"], s["start"] + s["span"] - 1))))
     found = hits.groupBy("doc_id", "_key").agg(F.size(covered).cast("bigint").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
     found = stored(found, "found")
-    rows = texts.select("doc_id", "_key", F.size(words_of(F.col("_text"))).cast("bigint").alias("n_words")).join(bounded(found), ["doc_id", "_key"], "left")
+    rows = _joined(texts.select("doc_id", "_key", F.size(words_of(F.col("_text"))).cast("bigint").alias("n_words")), found, "left")
     items = F.coalesce("_items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("bigint"))
     return rows.select(
@@ -95,6 +96,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _joined(texts: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """By id and text key; null ids match null ids."""
+    found = found.withColumnsRenamed({"doc_id": "_id", "_key": "_found"})
+    return texts.join(bounded(found), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_found")), how).drop("_id", "_found")
+
+
 def _tagged(column: str, span: int) -> Column:
     return F.transform(F.array_distinct(column), lambda x: F.struct(x.alias("print"), F.lit(span).alias("span")))
 
