@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm import decontaminate, jaccard, lines, packing, quality
-from chronoframe.llm.common import stored, without
+from chronoframe.llm.common import bounded, stored, without
 
 #: SQL cannot express the sketches, the tokenizer and the packing; tests/llm/test_pipeline.py has plain versions.
 ORACLE_SQL = None
@@ -25,9 +25,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    found = jaccard.near_duplicates(docs)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """Of each group of near copies one row stays, that with the smallest id; a row without an id only where none has one.
+
+    Rows count each, also those that are there repeatedly under one id or have none; of rows that share
+    the smallest id, that with the least hash of its text stays.  Texts without words stand alone and stay.
+    """
+    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_order")
+    members = stored(rows.select("_row", order).join(found, "_row"), "members")
+    first = members.groupBy("_group").agg(F.min("_order")["_row"].alias("_row"))
+    gone = stored(members.join(first, "_row", "left_anti").select("_row"), "gone")
+    return rows.join(bounded(gone), "_row", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
