@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names; a temporary one only on a local master where none is set, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="chronoframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,22 +25,71 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
 
 
-#: Rows of ids up to this number are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by `stored`, once all that is read from them later has itself been stored."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """The rows with a hint to broadcast them where they are few; they are counted first."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def col(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
 
+#: Bytes of rows up to this number are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 24 << 20
+_WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose doc_id is not among the ids; null ids match null ids."""
-    gone = stored(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(bounded(gone), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The rows with a hint to broadcast them where they have few bytes; rows and their bytes are counted first."""
+    fixed, size = 16, F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        kind = field.dataType.simpleString()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(col(field.name)), F.lit(0)) + 16
+        elif kind.startswith("array<") and "string" not in kind:
+            size = size + F.greatest(F.coalesce(F.size(col(field.name)), F.lit(0)), F.lit(0)) * 8 + 24
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(col(field.name)))), F.lit(0)) + 32
+        else:
+            fixed += max(8, _WIDTHS.get(kind, 8))
+    total = df.agg(F.coalesce(F.sum(size + fixed), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= MOST_BROADCAST else df
+
+
+def by_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> tuple[Column, Column]:
+    """What tells rows apart: the id, and a hash of the text.  Rows equal in both are given equal results."""
+    return col(id_column), F.xxhash64(F.coalesce(col(text_column), F.lit("")))
+
+
+def match_rows(docs: DataFrame, found: DataFrame, how: str, id_column: str = "doc_id", text_column: str = "text", hint: bool = True) -> DataFrame:
+    """The documents joined with rows (doc_id, key, ...) that `by_text` names; null ids match null ids.
+
+    The columns of `found` beyond these two must not clash; those of the documents may have any name.
+    """
+    names = fresh(docs, "_id", "_key")
+    found = found.withColumnsRenamed({"doc_id": names[0], "key": names[1]})
+    doc_id, key = by_text(docs, id_column, text_column)
+    return docs.join(bounded(found) if hint else found, doc_id.eqNullSafe(F.col(names[0])) & (key == F.col(names[1])), how).drop(*names)
 
 
 def partition_prefix(df: DataFrame, part: str, value: str, name: str) -> DataFrame:

@@ -1,89 +1,129 @@
 """Line deduplication across the corpus by an exact set-similarity join; DataFrame functions only.
 
-A line is the set of its words.  Words are ordered from rare to frequent; two sets of Jaccard
-similarity 0.8 or more then share a word among the first n - ceil(0.8 n) + 1 of each.  Equal sets
-are put together first.  Prefix rows meet by word; rows whose word no other line has go at once.
-The others are first held against the earliest line of their word and size; only lines that this
-leaves without a match are then held against all earlier lines of their words, under the length and
-positional filters, and a bound from 64 parity bits of each set.  So a large group of near copies costs about one comparison for each of them.
+A line is the set of its words.  Words are ordered from rare to frequent.  Of two sets of n <= m words
+and Jaccard similarity 0.8 or more, the smaller has a common word among its first n - ceil(8 n / 9) + 1
+and the larger among its first m - ceil(0.8 m) + 1 (the prefix filter; the shorter prefix serves for
+partners that are no smaller).  Equal sets are put together first, and numbered in the order of their
+first lines.
+
+Sets then meet in two steps.  First each is held against the earliest set that has one of its rarest
+words and its size band; in a large group of near copies nearly every member is settled here, by
+one comparison.  Then prefix rows meet by word, and by size band where the word is frequent, under the length and
+positional filters and a bound from parity bits; two sets that are both settled do not meet
+again.  What passes is decided by exact intersection of the words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import bounded, stored
+from chronoframe.llm.common import bounded, by_text, col, discard, fresh, match_rows, stored
 
-#: Cells of the table of word frequencies; words share a cell by hash.  Its size bounds what is broadcast.
+#: Cells of the table of word frequencies; words share a cell by hash.  Its size bounds what is sent with the plan.
 CELLS = 1 << 18
 #: Lines with fewer words are never removed by op8 and the pipeline: only lines without words stay out.
 LEAST_WORDS = 1
 PERCENT = 80
+#: Rarest words of a set by which it meets the earliest set.
+LEADS = 4
+#: Words of this frequency class (binary logarithm of their number) and above meet by size band too.
+FREQUENT = 7
+#: Sets of this size and above have 256 more parity bits, by which pairs are tried before their words are read.
+WIDE = 64
+#: Bits of the word hash in a key, below five bits of frequency class; sets that share a key by chance only cost a test.
+KEY_BITS = 26
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _plain(text: Column) -> Column:
+    """The text with A-Z in lower case and a space for each white character but the line feed; null as empty."""
+    text = F.coalesce(text, F.lit(""))
+    # where all characters are ASCII, lower() changes just A-Z, and faster
+    text = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+    rare = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\v")) | F.contains(text, F.lit("\f"))
+    return F.when(rare, F.translate(text, "\t\r\v\f", "    ")).otherwise(text)
 
 
-def raw_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, _line): line numbers from 0, and the lines as written; a null text is one empty line."""
-    return docs.select("doc_id", F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "_line"))
+def numbered_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, line, _line): line numbers from 0, and the lines in plain form; a null text is one empty line."""
+    doc_id, key = by_text(docs)
+    rows = docs.select(doc_id.alias("doc_id"), key.alias("key"), _plain(col("text")).alias("_text"))
+    return rows.select("doc_id", "key", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
 
 
-def words_of(line):
-    """Words of a line with A-Z in lower case, repeats included; empty strings may stand at its ends."""
-    few = F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    # where all characters are ASCII, lower() changes just A-Z, and faster
-    return F.split(F.when(F.length(line) == F.octet_length(line), F.lower(line)).otherwise(few), r"[\x20\x09-\x0D]+")
+def word_hashes(lines: DataFrame) -> DataFrame:
+    """(doc_id, key, line, n, words): the number of words of each line, and the hashes of its distinct ones."""
+    rows = lines.select("doc_id", "key", "line", F.transform(F.split("_line", " "), lambda w: F.xxhash64(w)).alias("_all"))
+    rows = rows.select("doc_id", "key", "line", F.array_remove("_all", F.xxhash64(F.lit(""))).alias("_all"))
+    return rows.select("doc_id", "key", "line", F.size("_all").alias("n"), F.array_distinct("_all").alias("words"))
+
+
+def line_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, line, n, size, set, bits, words): for each line its words, the distinct ones, their number, hash and parity bits, and 31 bits of each hash."""
+    rows = word_hashes(numbered_lines(docs))
+    rows = rows.select("doc_id", "key", "line", "n", F.size("words").alias("size"), F.sort_array("words").alias("words"))
+    return rows.select("doc_id", "key", "line", "n", "size", F.xxhash64("words").alias("set"), parities("words").alias("bits"), F.transform("words", lambda h: F.call_function("shiftrightunsigned", h, F.lit(33)).cast("int")).alias("words"))
+
 
+def parities(words: str) -> Column:
+    """64 bits: in each the parity of the number of hashes that fall there."""
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), h.bitwiseAND(F.lit(63)).cast("int"))))
 
-def distinct_hashes(words):
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
+def wide_parities(words: str) -> Column:
+    """Parities in four times 64 bits, from the ten highest of the 31 bits of each word."""
 
-def lines_of(lines: DataFrame) -> DataFrame:
-    """(doc_id, line, words) from the raw lines."""
-    return lines.select("doc_id", "line", F.array_remove(words_of(F.col("_line")), "").alias("words"))
+    def part(j: int) -> Column:
+        bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.call_function("shiftright", h, F.lit(21)).bitwiseAND(F.lit(63)))
+        return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, h: F.when(F.call_function("shiftright", h, F.lit(27)).bitwiseAND(F.lit(3)) == j, bits.bitwiseXOR(bit(h))).otherwise(bits))
 
+    return F.array(*[part(j) for j in range(4)])
 
-def rarity(docs: DataFrame, cells: int = CELLS) -> bytes:
-    """For each cell the binary logarithm of the number of its words in the corpus, as one byte.
+
+def rarity(words: DataFrame, cells: int = CELLS) -> list[int]:
+    """For each cell the binary logarithm of the number of its words in the corpus, up to 31.
 
     Any order that all lines share gives a right result; this one only has to put frequent words last.
     """
-    words = raw_lines(docs).select(F.explode(words_of(F.col("_line"))).alias("w"))
-    counts = words.select(F.xxhash64("w").bitwiseAND(F.lit(cells - 1)).cast("int").alias("c")).groupBy("c").agg(F.count("*").alias("n"))
-    table = bytearray(cells)
-    found = counts.select("c", (F.length(F.bin("n"))).alias("n")).toArrow()  # at most `cells` rows
+    cell = F.explode("words").alias("h")
+    counts = words.select(cell).groupBy(F.col("h").bitwiseAND(F.lit(cells - 1)).alias("c")).agg(F.count("*").alias("n"))
+    table = [0] * cells
+    found = counts.select("c", F.least(F.length(F.bin("n")), F.lit(31)).alias("n")).toArrow()  # at most `cells` rows
     for c, n in zip(found["c"].to_pylist(), found["n"].to_pylist(), strict=True):
         table[c] = n
-    return bytes(table)
+    return table
 
 
-def _ranked(table: bytes):
+def _key(table: list[int]):
     """The key of a word's hash: its frequency class in the high bits, the hash below, so that keys sort from rare to frequent."""
-    lit = F.lit(table)
+    # one literal: the split and the cast of a literal are worked off when the query is planned
+    classes = F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")
 
-    def key(h):
-        rank = F.ascii(F.substring(lit, h.bitwiseAND(F.lit(len(table) - 1)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("bigint"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
+    def key(h: Column) -> Column:
+        rank = F.get(classes, h.bitwiseAND(F.lit(len(table) - 1))).cast("int")
+        return F.call_function("shiftleft", rank, F.lit(KEY_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(31 - KEY_BITS)))
 
     return key
 
 
-def line_sets(docs: DataFrame, table: bytes, least: int) -> DataFrame:
-    """(doc_id, line, keys): the distinct keys of each line of at least `least` words, rare ones first."""
-    keys = F.sort_array(F.array_distinct(F.transform(distinct_hashes("words"), _ranked(table))))
-    # a generator around the sets: a plain filter would go below them and compute them twice
-    long = F.filter(F.array(F.struct(F.size("words").alias("n"), keys.alias("keys"))), lambda x: x["n"] >= least)
-    rows = lines_of(raw_lines(docs)).select("doc_id", "line", F.explode_outer(long).alias("x")).where("x IS NOT NULL")
-    return rows.select("doc_id", "line", F.col("x.keys").alias("keys"))
-
-
 def similar(inter, na, nb):
     return (100 + PERCENT) * inter >= PERCENT * (na + nb)  # 100 * inter >= PERCENT * union, with one use of inter
 
 
-def parities(keys):
-    """64 bits: in each the parity of the number of keys that fall there."""
-    return F.aggregate(keys, F.lit(0).cast("bigint"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), k.bitwiseAND(F.lit(63)).cast("int"))))
+def _longer_prefix(n: Column) -> Column:
+    """Words of a set of n among which one is common with any similar set."""
+    return n - F.call_function("div", PERCENT * n.cast("bigint") + 99, F.lit(100)).cast("int") + 1
+
+
+def _shorter_prefix(n: Column) -> Column:
+    """The same for similar sets that are no smaller."""
+    return n - F.call_function("div", 2 * PERCENT * n.cast("bigint") + (99 + PERCENT), F.lit(100 + PERCENT)).cast("int") + 1
+
+
+def _band(n: Column) -> Column:
+    """Similar sizes lie in one band or in neighbouring ones."""
+    return F.floor(F.log(n) / F.log(F.lit(100 / PERCENT))).cast("int")
 
 
 def may_match(na, nb, bits_a, bits_b):
@@ -92,54 +132,107 @@ def may_match(na, nb, bits_a, bits_b):
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & similar(best, na, nb)
 
 
+def _led(sets: DataFrame) -> DataFrame:
+    """(a, b): each set b with the earliest set of one of its rarest words and its band, where bits allow a match."""
+    rows = sets.where(F.col("size") * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", _band(F.col("size")).alias("band"), F.explode(F.slice("head", 1, LEADS)).alias("word"))
+    leads = rows.groupBy("word", "band").agg(F.min("num").alias("a"))
+    pairs = rows.join(leads, ["word", "band"]).where("a < num").select("a", F.col("num").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb")).distinct()
+    led = sets.select(F.col("num").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
+    return pairs.join(led, "a").where(may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"))).select("a", "b")
+
+
+def _prefix_rows(sets: DataFrame, shorter: bool) -> DataFrame:
+    """A row for each prefix word of each set; by `band`, -1 for words that are not frequent, similar sets meet."""
+    n = F.col("size")
+    head = F.slice("head", F.lit(1), _shorter_prefix(n) if shorter else _longer_prefix(n))
+    rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", F.posexplode(head).alias("pos", "word"))
+    frequent = F.col("word") >= FREQUENT << KEY_BITS
+    if not shorter:
+        return rows.withColumn("band", F.when(frequent, _band(n)).otherwise(-1))
+    # a partner that is no smaller lies in the same band or the next
+    return rows.withColumn("band", F.explode(F.when(frequent, F.array(_band(n), _band(n) + 1)).otherwise(F.array(F.lit(-1)))))
+
+
+def _met(sets: DataFrame) -> DataFrame:
+    """(a, b), a < b: sets that share a prefix word and pass the filters; no two that are both `settled`."""
+
+    def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        x, y = (df.select("word", "band", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "size", "bits", "pos")]) for p, df in (("x", smaller), ("y", larger)))
+        n, m = F.col("x_size"), F.col("y_size")
+        order = (n < m) | ((n == m) & (F.col("x_num") < F.col("y_num")))
+        # what the two can share: what stands before the common word, the word, and what stands after it
+        best = F.least("x_pos", "y_pos") + F.least(n - F.col("x_pos"), m - F.col("y_pos"))
+        close = (100 * n >= PERCENT * m) & similar(best, n, m) & may_match(n, m, F.col("x_bits"), F.col("y_bits"))
+        return x.join(y, ["word", "band"]).where(order & close)
+
+    open_, settled = sets.where("NOT settled"), sets.where("settled")
+    both = F.least("x_num", "y_num").alias("a"), F.greatest("x_num", "y_num").alias("b")
+    pairs = meet(_prefix_rows(sets, True), _prefix_rows(open_, False)).select(*both)
+    rest = meet(_prefix_rows(open_, True), bounded(_prefix_rows(settled, False))).where("x_num > y_num").select(*both)
+    pairs = pairs.unionByName(rest).distinct()
+    # of long sets 256 bits more
+    for p in "ab":
+        wide = sets.select(F.col("num").alias(p), F.col("size").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
+        pairs = pairs.join(wide, p)
+    differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d)
+    best = F.floor((F.col("na") + F.col("nb") - F.coalesce(differing, F.lit(0))) / 2)
+    return pairs.where(similar(best, F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(num) of each b that some pair (a, b) shows to match: exact intersection of the sets of word hashes."""
+    pairs = stored(pairs, "pairs")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("num")).distinct().join(sets.select("num", "at.*"), "num")
+    needed = stored(needed, "needed")
+    texts = match_rows(docs, needed.select("doc_id", "key").distinct(), "left_semi")
+    # only the lines of pairs are split into words
+    names = needed.withColumnsRenamed({"doc_id": "_id", "key": "_key", "line": "_at"})
+    lines = numbered_lines(texts)
+    lines = lines.join(bounded(names), lines["doc_id"].eqNullSafe(F.col("_id")) & (lines["key"] == F.col("_key")) & (lines["line"] == F.col("_at")))
+    hashes = F.transform(F.split("_line", " "), lambda w: F.xxhash64(w))
+    # rows that repeat an id and text give a line twice
+    words = lines.select("num", F.array_remove(F.array_distinct(hashes), F.xxhash64(F.lit(""))).alias("words")).dropDuplicates(["num"])
+    words = stored(words, "words")
+    both = pairs.join(words.select(F.col("num").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("num").alias("b"), F.col("words").alias("wb")), "b")
+    inter = F.size(F.array_intersect("wa", "wb"))
+    found = stored(both.where(similar(inter, F.size("wa"), F.size("wb"))).select(F.col("b").alias("num")).distinct(), "matched")
+    discard(pairs, needed, words)
+    return found
+
+
 def removed_lines(docs: DataFrame, least: int = 5) -> DataFrame:
-    """(doc_id, line) of the lines of at least `least` words that match an earlier one, in the order of doc_id and line.
+    """(doc_id, key, line) of the lines of at least `least` words that match an earlier one, in the order of doc_id, key and line.
 
+    `key` is a hash of the text, which tells rows apart that share an id or have none; null ids come
+    first.  Rows that repeat an id and its text count once, and all of them lose the same lines.
     Matches are judged on the input, so a removed line still removes later ones.  Null texts have no
-    lines of words.  Documents that share an id are taken as one whose line n is removed if line n of
-    any of them is.  Lines of equal words in another order or number are equal.
+    lines of words.  Lines of equal words in another order or number are equal.
     """
-    table = rarity(docs)
-    sets = line_sets(docs, table, least)
-    prefix = F.size("keys") - F.ceil(F.lit(PERCENT) * F.size("keys") / 100).cast("int") + 1
-    each = sets.select(F.xxhash64("keys").alias("set"), F.size("keys").alias("n"), "doc_id", "line", F.slice("keys", 1, prefix).alias("head"), parities("keys").alias("bits"))
+    each = stored(line_words(docs), "lines")
+    table = rarity(each)
+    long = each.where((F.col("n") >= least) & (F.col("n") > 0))
+    keys = F.sort_array(F.transform("words", _key(table)))
+    heads = long.select("set", "size", "bits", F.struct("doc_id", "key", "line").alias("at"), F.slice(keys, F.lit(1), _longer_prefix(F.col("size"))).alias("head"), F.when(F.col("size") >= WIDE, wide_parities("words")).alias("wide"))
     # one row for each distinct set, with its first line; copies are combined before the shuffle
-    each = stored(each.select("set", "n", "doc_id", "line", "head", "bits"), "lines")
-    first = stored(each.groupBy("set", "n").agg(F.count("*").alias("equal"), F.min(F.struct("doc_id", "line")).alias("at"), F.first("head").alias("head"), F.first("bits").alias("bits")), "sets")
-    copies = each.select("set", "n", "doc_id", "line").join(bounded(first.where("equal > 1").select("set", "n", "at")), ["set", "n"]).where(F.struct("doc_id", "line") != F.col("at")).select("doc_id", "line")
-    # n / (n + 1) is below the threshold for smaller sets: only equal ones match them
-    rows = first.where(F.col("n") * (100 - PERCENT) >= PERCENT).select("at", "n", "bits", F.posexplode("head").alias("pos", "key"))
-    by_size = Window.partitionBy("key", "band").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1.25))).cast("int")
-    # by key first: the rows then lie right for the window by key and band as well, without a second shuffle
-    many = rows.withColumn("band", band).withColumn("shared", F.count("*").over(Window.partitionBy("key"))).where("shared > 1")
-    many = many.withColumn("lead", F.first(F.struct("at", "n", "bits")).over(by_size))
-    many = stored(many.select("key", "at", "n", "bits", "pos", "lead"), "shared")
-    star = many.where((F.col("lead.at") < F.col("at")) & may_match(F.col("lead.n"), F.col("n"), F.col("lead.bits"), F.col("bits"))).select(F.col("at").alias("b"), F.col("lead.at").alias("a")).distinct()
-    found = stored(_verified(star, docs), "matched")
-    left = many.join(bounded(found.select(F.col("b").alias("at"))), "at", "left_anti")
-    x, y = many.select("key", F.col("at").alias("a"), F.col("n").alias("na"), F.col("bits").alias("ba"), F.col("pos").alias("pa")), left.select("key", F.col("at").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bb"), F.col("pos").alias("pb"))
-    # what the two can share: what stands before the common word, the word, and what stands after it
-    best = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    close = may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb")) & similar(best, F.col("na"), F.col("nb"))
-    pairs = y.join(x, "key").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
-    pairs = pairs.join(star, ["a", "b"], "left_anti")
-    more = _verified(pairs, docs)
-    near = found.select("b").unionByName(more.select("b")).distinct().select("b.doc_id", "b.line")
-    return copies.unionByName(near).distinct()
-
-
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(b) for each b that some pair (a, b) shows to match: exact intersection of the sets of word hashes."""
-    pairs = stored(pairs, "pairs")
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*"), "needed")
-    texts = docs.join(bounded(needed.select("doc_id").distinct()), "doc_id", "left_semi")
-    # only the lines of pairs are split into words
-    lines = lines_of(raw_lines(texts).join(bounded(needed), ["doc_id", "line"], "left_semi"))
-    sets = stored(lines.select(F.struct("doc_id", "line").alias("at"), distinct_hashes("words").alias("words")), "words")
-    both = pairs.join(sets.select(F.col("at").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("at").alias("b"), F.col("words").alias("wb")), "b")
-    inter = F.size(F.array_intersect("wa", "wb"))
-    return both.where(similar(inter, F.size("wa"), F.size("wb"))).select("b").distinct()
+    first = heads.groupBy("set", "size", "bits").agg(F.min("at").alias("at"), F.first("head").alias("head"), F.first("wide").alias("wide"), F.count("*").alias("equal"))
+    ordered = first.repartitionByRange("at").sortWithinPartitions("at").withColumn("num", F.monotonically_increasing_id())
+    sets = stored(ordered, "sets")
+    firsts = bounded(sets.where("equal > 1").select("set", "size", "bits", "at"))
+    copies = long.select("set", "size", "bits", F.struct("doc_id", "key", "line").alias("own")).join(firsts, ["set", "size", "bits"]).where(F.col("own") != F.col("at")).select("own.*")
+    copies = stored(copies.distinct(), "copies")
+    discard(each)
+    found = _verified(_led(sets), sets, docs)
+    light = sets.select("num", "size", "bits", "head", "wide").join(bounded(found.select("num", F.lit(True).alias("_settled"))), "num", "left")
+    more = _verified(_met(light.select("num", "size", "bits", "head", "wide", F.coalesce("_settled", F.lit(False)).alias("settled"))), sets, docs)
+    near = sets.select("num", "at").join(bounded(found.unionByName(more).distinct()), "num", "left_semi").select("at.*")
+    return copies.unionByName(near)
+
+
+def deduplicated(docs: DataFrame, least: int = 5) -> tuple[DataFrame, str]:
+    """The documents without their removed lines, in a text column of their own, and the name of a further column: the numbers of the lines that went."""
+    gone, = fresh(docs, "_gone")
+    found = stored(removed_lines(docs, least).groupBy("doc_id", "key").agg(F.sort_array(F.collect_set("line")).alias(gone)), "gone")
+    return match_rows(docs, found, "left"), gone
 
 
 def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
@@ -147,14 +240,27 @@ def dedup_lines(docs: DataFrame, least: int = 5) -> DataFrame:
 
     Lines of fewer than `least` words stay; op8 and the pipeline pass LEAST_WORDS.
 
-    Adds n_lines and n_removed.  A null text stays null, and has no lines.  A document keeps its row
-    even when all its lines go; its text is then empty.
+    Adds n_lines and n_removed, in the place of columns of these names.  A null text stays null, and
+    has no lines.  A document keeps its row even when all its lines go; its text is then empty.
     """
-    gone = removed_lines(docs, least).groupBy("doc_id").agg(F.collect_set("line").alias("_gone"))
-    rows = docs.join(gone, "doc_id", "left").withColumn("_gone", F.coalesce("_gone", F.array().cast("array<int>")))
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = rows.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_removed": F.when(F.col("text").isNull(), 0).otherwise(F.size("_gone")).cast("bigint"), "text": F.when(F.size("_gone") > 0, kept).otherwise(F.col("text"))})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
-    return out.select(*docs.columns, "n_lines", "n_removed")
+    rows, gone = deduplicated(docs, least)
+    n_lines = F.coalesce(F.size(F.split(col("text"), "\n")), F.lit(0)).cast("bigint")
+    n_removed = F.when(col("text").isNull(), 0).otherwise(F.coalesce(F.size(gone), F.lit(0))).cast("bigint")
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return rows.select(*[_kept(c, gone) for c in kept], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+
+
+def _kept(name: str, gone: str) -> Column:
+    """A column of the documents as it is after lines went."""
+    text = F.array_join(F.filter(F.split(col("text"), "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    if name == "text":
+        return F.when(F.size(gone) > 0, text).otherwise(col("text")).alias("text")
+    if name == "n_chars":
+        return F.when(F.size(gone) > 0, F.length(text)).otherwise(F.coalesce(F.length(col("text")), F.lit(0))).cast("bigint").alias("n_chars")
+    return col(name)
+
+
+def without_lines(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """The documents without their removed lines, with just the columns that they have."""
+    rows, gone = deduplicated(docs, least)
+    return rows.select(*[_kept(c, gone) for c in docs.columns])
