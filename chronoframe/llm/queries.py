@@ -72,7 +72,7 @@ def op1(spark, sf_dir):
 
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
-    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept")
+    return repeats.remove_repeats(documents(spark, sf_dir), with_bytes=False)
 
 
 @query("op6_token_counts")

@@ -22,19 +22,20 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm import wordhash as W
-from chronoframe.llm.common import bounded, stored
+from chronoframe.llm.common import bounded, discard, match_rows, stored
 
 LENGTH, GRAM = 50, 16
 #: Bits of the table of keys, and how many are sent at once; a fuller table only lets more through.
 TABLE_BITS, RANGE_BITS = 28, 20
 #: Bytes of all texts for each shard, and bytes of text whose stretches a task sends together.
-SHARD, FLUSH = 4 << 20, 32 << 20
+SHARD, FLUSH = 4 << 20, 6 << 20
 #: Bytes that the queues of one sort keep in memory.
 QUEUED = 256 << 20
 
@@ -302,11 +303,15 @@ def _key_table(texts: DataFrame) -> tuple[np.ndarray, int]:
     step = 1 << (RANGE_BITS - 3)
     for row in sent.where("range >= 0").select("range", "once", "twice").repartition(ranges // 4, "range").mapInArrow(merge, "range int, bits binary").toLocalIterator():
         table[row["range"] * step : (row["range"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
+    discard(sent)
     return table, total
 
 
 def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
-    """Rows of two kinds: stretches for a shard (kind 0) and a task's own places (kind 1), both by `batch`, a number of its own."""
+    """Rows of two kinds: stretches for a shard (kind 0) and a task's own places (kind 1), both by `batch`, a number of its own.
+
+    Places go through the same shuffle, to any shard, so that nothing is computed or written twice.
+    """
     usual = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
@@ -316,7 +321,7 @@ def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
 
         def flush():
             nonlocal held, size, count
-            doc, start, length, key, mark, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc, text, start, length, key, mark, data = (np.concatenate(x) for x in zip(*held, strict=True))
             held, size = [], 0
             number = (task << 24) | count
             count += 1
@@ -329,7 +334,7 @@ def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
             first = order[new]
             own = np.flatnonzero(new)
             least, most = doc[first], doc[order[np.append(own[1:], len(order)) - 1]]
-            rows = [(1, number, -1, _pack(group.astype("<i4"), doc[order], start[order], length[order].astype("<i4")))]
+            rows = [(1, number, number % shards, _pack(group.astype("<i4"), doc[order], text[order], start[order]))]
             at = shard[first]
             cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -340,7 +345,7 @@ def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "batch", "shard", "blob"])
 
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_key"))
             for first, data, offsets in W.chunks(batch.column("_text")):
                 row, begin, end, key = stretches(data, offsets)
                 cell = _cells(key)
@@ -351,7 +356,7 @@ def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
                     length = end - begin
                     mark = W.word_hashes(data, begin, end, W.SAME) ^ W.mix(length.astype(np.uint64))
                     where = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                    held.append((ids[row + first].astype(np.int64), begin - offsets[row], length, key, mark, data[where]))
+                    held.append((ids[row + first].astype(np.int64), texts[row + first].astype(np.int64), begin - offsets[row], length, key, mark, data[where]))
                 if size >= FLUSH and held:
                     yield flush()
         if held:
@@ -361,7 +366,7 @@ def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
 
 
 def _answers(sent: DataFrame, shards: int) -> DataFrame:
-    """For each batch the strings of its stretches that an earlier document has: (kind 0, batch, blob)."""
+    """For each batch the strings of its stretches that an earlier document has: (kind 0, batch, blob); and its places (kind 1)."""
 
     def one(rows):
         heads = [_unpack(blob) for _, blob in rows]
@@ -404,7 +409,12 @@ def _answers(sent: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         shard, rows = None, []
         for batch in batches:
-            for s, number, blob in zip(*(batch.column(c).to_pylist() for c in ("shard", "batch", "blob")), strict=True):
+            places = batch.filter(pa.compute.equal(batch.column("kind"), 1))
+            if places.num_rows:
+                yield places.select(["kind", "batch", "blob"])
+            for kind, s, number, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "batch", "blob")), strict=True):
+                if kind == 1:
+                    continue
                 if s != shard and rows:
                     yield one(rows)
                     rows = []
@@ -413,14 +423,14 @@ def _answers(sent: DataFrame, shards: int) -> DataFrame:
         if rows:
             yield one(rows)
 
-    return sent.select("shard", "batch", "blob").repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(run, "kind int, batch bigint, blob binary")
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(run, "kind int, batch bigint, blob binary")
 
 
-def _covered(places: DataFrame, answers: DataFrame) -> DataFrame:
-    """(doc_id, blob of begins, blob of ends): the bytes that strings of earlier documents cover."""
+def _covered(both: DataFrame) -> DataFrame:
+    """(doc_id, key, blob of begins and ends): the bytes that strings of earlier documents cover."""
 
     def one(answers, places):
-        group, doc, start, _ = _unpack(places)
+        group, doc, text, start = _unpack(places)
         found = [_unpack(x) for x in answers]
         piece, begin, end, owner = (np.concatenate([f[i] for f in found]) for i in range(4))
         order = np.argsort(piece, kind="stable")
@@ -431,12 +441,12 @@ def _covered(places: DataFrame, answers: DataFrame) -> DataFrame:
         place = np.repeat(np.arange(len(group)), n)
         hit = owner[which] < doc[place]
         which, place = which[hit], place[hit]
-        d, a, b = doc[place], start[place] + begin[which], start[place] + end[which] - 1 + LENGTH
-        order = np.lexsort((a, d))
-        d, a, b = d[order], a[order], b[order]
-        cuts = np.concatenate([[0], np.flatnonzero(d[1:] != d[:-1]) + 1, [len(d)]]) if len(d) else np.zeros(1, np.int64)
+        d, t, a, b = doc[place], text[place], start[place] + begin[which], start[place] + end[which] - 1 + LENGTH
+        order = np.lexsort((a, t, d))
+        d, t, a, b = d[order], t[order], a[order], b[order]
+        cuts = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1, [len(d)]]) if len(d) else np.zeros(1, np.int64)
         blobs = [_pack(a[i:j], b[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["doc_id", "spans"])
+        return pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), pa.array(t[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["doc_id", "key", "spans"])
 
     def run(batches):
         number, found = None, []
@@ -449,8 +459,7 @@ def _covered(places: DataFrame, answers: DataFrame) -> DataFrame:
                 elif found:
                     yield one(found, blob)
 
-    both = answers.unionByName(places.select("kind", "batch", "blob"))
-    return both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "doc_id bigint, spans binary")
+    return both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "doc_id bigint, key bigint, spans binary")
 
 
 def kept_parts(size: int, blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
@@ -468,31 +477,38 @@ def kept_parts(size: int, blobs: list[bytes] | None) -> tuple[np.ndarray, np.nda
     return edges[::2], edges[1::2]
 
 
-def equal_texts(docs: DataFrame) -> DataFrame:
-    """The ids of documents whose whole text an earlier document has; groups are combined before the shuffle."""
-    rows = docs.select("doc_id", F.sha2(F.encode(F.coalesce("_text", F.lit("")), "UTF-8"), 256).alias("_sha"))
-    first = rows.groupBy("_sha").agg(F.min("doc_id").alias("_first"))
-    return rows.join(first, "_sha").where("doc_id > _first").select("doc_id").distinct()
+def equal_texts(texts: DataFrame) -> DataFrame:
+    """(doc_id, key) of rows whose whole text a row with a smaller id has; groups are combined before the shuffle."""
+    rows = texts.select("doc_id", F.col("_key").alias("key"), F.sha2(F.encode(F.coalesce("_text", F.lit("")), "UTF-8"), 256).alias("_sha"))
+    first = rows.groupBy("_sha").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_rows")).where("_rows > 1")
+    return rows.join(bounded(first), "_sha").where("doc_id > _first").select("doc_id", "key").distinct()
 
 
 def covered_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, spans) for documents (doc_id, _text) without equal texts under different ids."""
+    """(doc_id, key, spans) for rows (doc_id, _key, _text) without equal texts under different ids."""
     table, total = _key_table(texts)
     shards = max(8, -(-total // SHARD))
-    sent = stored(_candidates(texts, table, shards), "stretches")
-    answers = _answers(sent.where("kind = 0"), shards)
-    return _covered(sent.where("kind = 1"), answers)
+    return _covered(_answers(_candidates(texts, table, shards), shards))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     """One row for each document: n_bytes, n_removed, n_spans, kept (the bytes that stay) and kept_sha256.
 
     A byte is removed when a 50-byte string over it also starts in a document with a smaller id.  Texts
     are UTF-8 bytes; null and empty ones have none.  Rows that share an id do not remove each other's
-    bytes, and must have the same text; a null id neither removes nor loses bytes.  Extra columns are
-    left out, and an empty table gives no rows.
+    bytes, and each is judged by its own text; a null id neither removes nor loses bytes.  Extra columns
+    are left out, and an empty table gives no rows.  Without `with_bytes` the column `kept` is left out.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("_data"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text"))
+    texts = texts.withColumn("_key", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    named = texts.where("doc_id IS NOT NULL")
+    copies = stored(equal_texts(named), "copies")
+    own = match_rows(named, copies, "left_anti", text_column="_text")
+    spans = covered_spans(own).unionByName(copies.select("doc_id", "key", F.lit(b"").alias("spans")))
+    spans = stored(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("_spans")), "spans")
+    rows = match_rows(texts, spans, "left", text_column="_text").select("doc_id", F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_data"), "_spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -501,14 +517,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 begin, end = kept_parts(len(data), blobs)
                 edges = [0, *np.column_stack([begin, end]).ravel().tolist(), len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(begin), kept, hashlib.sha256(kept).hexdigest()))
+                out.append((doc, len(data), len(data) - len(kept), len(begin), kept if with_bytes else None, hashlib.sha256(kept).hexdigest()))
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text")).where("doc_id IS NOT NULL")
-    copies = stored(equal_texts(texts), "copies")
-    own = texts.join(bounded(copies), "doc_id", "left_anti")
-    spans = covered_spans(own).unionByName(copies.select("doc_id", F.lit(b"").alias("spans")))
-    spans = spans.groupBy("doc_id").agg(F.collect_list("spans").alias("_spans"))
-    return rows.join(spans, "doc_id", "left").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string")
+            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+            yield found if with_bytes else found.select([n for n in names if n != "kept"])
+
+    kept = "kept binary, " if with_bytes else ""
+    return rows.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {kept}kept_sha256 string")
