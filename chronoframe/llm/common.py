@@ -66,7 +66,7 @@ def bounded(df: DataFrame) -> DataFrame:
         kind = field.dataType.simpleString()
         if kind in ("string", "binary"):
             size = size + F.coalesce(F.octet_length(col(field.name)), F.lit(0)) + 16
-        elif kind.startswith("array<") and "string" not in kind:
+        elif kind in ("array<int>", "array<bigint>", "array<double>"):
             size = size + F.greatest(F.coalesce(F.size(col(field.name)), F.lit(0)), F.lit(0)) * 8 + 24
         elif kind.startswith(("array", "map", "struct")):
             size = size + F.coalesce(F.octet_length(F.to_json(F.struct(col(field.name)))), F.lit(0)) + 32

@@ -24,7 +24,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import wordhash as W
-from chronoframe.llm.common import connected_components, stored
+from chronoframe.llm.common import bounded, connected_components, discard, stored
 
 WORDS, PERCENT = 5, 80
 #: Cells of the table of shingle counts, and cells sent at once.
@@ -34,8 +34,6 @@ BLOCK, SIDE = 512, 256
 #: Orders of all sets, in which leaders are the first of their tile; and rounds of leaders.
 _ORDERS = W.mix(np.arange(1, 5, dtype=np.uint64))
 ROUNDS = 3
-#: Bits of the filter of ids whose shingles are needed; when it is full it only lets more through.
-FILTER_BITS = 1 << 26
 
 
 def _signed(x) -> pa.Array:
@@ -81,7 +79,7 @@ def _profile(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         counts = np.zeros(CELLS, dtype=np.int64)
-        names = ["doc_id", "n", "sid", "cell", "counts"]
+        names = ["doc_id", "key", "n", "sid", "cell", "counts"]
         for batch in batches:
             n, sid = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
             for i, s in _sets(batch):
@@ -91,15 +89,15 @@ def _profile(docs: DataFrame) -> DataFrame:
                     if len(s) <= CELLS // 64:
                         np.add.at(counts, (s >> np.uint64(44)).astype(np.int64), 1)
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), _signed(sid), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(n), _signed(sid), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for cell in range(0, CELLS, PART):
             part = counts[cell : cell + PART]
             if part.any():
                 blob = part.astype("<u4").tobytes()
                 none = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays([none, none, none, pa.array([cell], pa.int32()), pa.array([blob], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([cell], pa.int32()), pa.array([blob], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, sid bigint, cell int, counts binary")
+    return docs.mapInArrow(run, "doc_id bigint, key bigint, n bigint, sid bigint, cell int, counts binary")
 
 
 def _count_table(parts: DataFrame) -> np.ndarray:
@@ -226,45 +224,28 @@ def _near_bits(batches):
         yield both.filter(pa.array(good, pa.bool_()))
 
 
-def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of set numbers that link, by the intersection of their sorted shingles."""
-    pairs = stored(pairs, "candidates")
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "needed")
-    spark = docs.sparkSession
+def _links(pairs: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of set numbers that link, by the intersection of their sorted shingles.
 
-    def mark(batches):
-        bits = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        for batch in batches:
-            at = batch.column("sid").to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)))
-        step = 1 << 16
-        for p in range(0, len(bits), step):
-            if bits[p : p + step].any():
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits[p : p + step].tobytes()], pa.binary())], names=["p", "bits"])
-
-    # the filter has a fixed size: FILTER_BITS / 8 bytes from each of a few tasks
-    filled = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in needed.coalesce(4).mapInArrow(mark, "p int, bits binary").toLocalIterator():
-        part = np.frombuffer(row["bits"], dtype=np.uint8)
-        filled[row["p"] : row["p"] + len(part)] |= part
-    usual = spark.sparkContext.broadcast(filled)
+    Shingles are made again, for one text of each set that a pair names.
+    """
+    pairs = stored(pairs, "candidates")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    chosen = rows.join(needed, "sid", "left_semi").groupBy("sid").agg(F.min(F.struct("doc_id", "key")).alias("at"))
+    chosen = stored(chosen.select("at.*").distinct(), "chosen")
 
     def shingles(batches):
-        bits = usual.value
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 sid, lists = [], []
                 for _, s in _sets(batch.slice(start, 1000)):
-                    if len(s) >= 4:
-                        x = _set_id(s)
-                        at = x & (FILTER_BITS - 1)
-                        if bits[at >> 3] >> (at & 7) & 1:
-                            sid.append(x)
-                            lists.append(s.view(np.int64))
+                    sid.append(_set_id(s))
+                    lists.append(s.view(np.int64))
                 yield pa.RecordBatch.from_arrays([_signed(sid), pa.array(lists, pa.list_(pa.int64()))], names=["sid", "shingles"])
 
-    found = docs.mapInArrow(shingles, "sid bigint, shingles array<bigint>")
-    sets = stored(found.join(needed, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    # repeated rows give a set twice
+    found = texts.join(bounded(chosen), ["doc_id", "key"], "left_semi").select("_text").mapInArrow(shingles, "sid bigint, shingles array<bigint>")
+    sets = stored(found.dropDuplicates(["sid"]), "sets")
     both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def test(batches):
@@ -278,7 +259,9 @@ def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 good.append(100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return stored(both.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint"), "links")
+    links = stored(both.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint"), "links")
+    discard(pairs, chosen, sets)
+    return links
 
 
 def _main_labels(members: DataFrame) -> DataFrame:
@@ -354,12 +337,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; a set has the distinct five-word shingles
     of the whole text, or the whole text as one when it has fewer words.  Null, empty and white texts
-    have no shingles and stand alone, as do documents with a null id.  Repeated rows and equal texts are
+    have no shingles and stand alone, as do documents with a null id, which link no others.  Repeated rows and equal texts are
     in one group; rows that share an id are judged each by its text.  Extra columns are left out.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text"))
+    texts = texts.withColumn("key", F.xxhash64(F.coalesce("_text", F.lit(""))))
     profile = stored(_profile(texts), "profile")
-    rows = profile.where("cell IS NULL").select("doc_id", "n", "sid")
+    every = profile.where("cell IS NULL").select("doc_id", "key", "n", "sid")
+    rows, texts = every.where("doc_id IS NOT NULL"), texts.where("doc_id IS NOT NULL")
     table = _count_table(profile.where("cell IS NOT NULL"))
     heads = stored(_heads(texts, table).dropDuplicates(["sid"]), "heads")
     marks = heads.select("sid", "n", "bits")
@@ -377,7 +362,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     plain = stored(tiles.select(tile.alias("tile"), F.explode("sids").alias("sid")).distinct(), "plain")
     star = tiles.select("leads", F.explode("sids").alias("a")).select("a", F.explode("leads").alias("b")).where("a <> b").distinct()
     tested = stored(best(star), "star")
-    links = _links(tested, texts)
+    links = _links(tested, texts, rows)
     for turn in range(ROUNDS):
         labels = stored(connected_components(links).select(F.col("node").alias("sid"), "component"), "labels")
         named = plain.join(labels, "sid", "left").select("tile", "sid", F.coalesce("component", "sid").alias("label"))
@@ -390,16 +375,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         star = outside.join(leads, "tile").select("a", F.explode(F.array_distinct(F.array("l0", "l1"))).alias("b")).distinct()
         known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         new = stored(best(star.join(known, ["a", "b"], "left_anti")), "star")
-        found = _links(new, texts)
+        found = _links(new, texts, rows)
         tested, links = tested.unionByName(new), links.unionByName(found)
     members = stored(named.join(marks, "sid").select("tile", "sid", "n", "bits", "label"), "members")
     rest = _block_pairs(members).join(tested, ["a", "b"], "left_anti")
-    links = links.unionByName(_links(rest, texts))
+    links = links.unionByName(_links(rest, texts, rows))
     groups = connected_components(links)
     first = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
     placed = first.join(groups.select(F.col("node").alias("sid"), "component"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     placed = stored(placed, "placed")
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     placed = placed.join(least, "component").select("sid", "component_id")
-    joined = rows.join(placed, "sid", "left")
+    joined = every.join(placed, "sid", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
