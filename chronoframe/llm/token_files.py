@@ -22,6 +22,7 @@ from chronoframe.llm.tokens import encoder, id_lists
 ROW_GROUP, PAGE = 16 << 20, 256 << 10
 SETTINGS = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.block.size": str(ROW_GROUP),
     "parquet.page.size": str(PAGE),
     "parquet.page.row.count.limit": "2000",

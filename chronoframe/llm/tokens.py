@@ -2,7 +2,7 @@
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the pieces,
 put together, are the ids of the text: before white space that follows a visible character, and
-after a word of letters that goes on with `. , ; : ! ?`.  `tests/llm/test_tokens.py` holds this
+after a word of letters that goes on with `. , ; : ! ?`.  `tests/llm/test_contracts.py` holds this
 against the library on whole texts.  Each Python worker keeps the ids of the pieces it has seen, up
 to a fixed number.
 """
@@ -21,6 +21,7 @@ SPACED = re.compile(r"\s*\S+|\s+")
 TAILED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
 #: Two characters of white space together, in the forms that are common, and rarer white space.
 RUNS = ("  ", " \n", "\n ", "\n\n")
+RARE_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
 RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Pieces that a worker remembers; beyond that it begins anew.
 REMEMBERED = 900_000
@@ -56,7 +57,8 @@ class Encoder(dict):
             if text.isascii() or max(text) < "\u0100":  # one lower-case letter for each, and nothing to compose
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
-        if "\0" in text or any(run in text for run in RUNS) or RARE.search(text):
+        rare = any(c in text for c in RARE_ASCII) if text.isascii() else RARE.search(text)
+        if rare or "\0" in text or any(run in text for run in RUNS):
             return SPACED.findall(text)
         return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
 
