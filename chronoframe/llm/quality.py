@@ -2,27 +2,39 @@
 
 The sketch counts values in buckets that are exact up to 31 and then 32 to each power of two, so a
 quantile is off by 1/32 at most.  Bucket counts add up in any order, so partial sketches merge before
-the shuffle and the limits do not depend on how rows are dealt out.  Sketches of small groups are
-merged upward, to the language and then to the corpus.
+the shuffle and the limits do not depend on how rows are dealt out.
+
+A group's own limit is the fence q(high) + spread * (q(high) - q(0.5)) of its sketch.  The fewer documents
+a group has, the nearer its limit lies to that of its language, and that of a language to the
+corpus's: each is the mean of the two, weighted by the documents and by SHRINK.  A document is rejected
+when a count is above what the limit allows for its length by more than CERTAIN times the count's own
+square root, so that one repeated line of three says nothing.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.llm import wordhash as W
-
-#: What is judged, and the least distance above the group's own level at which a document is rejected:
-#: symbols per thousand characters, repeated lines per thousand lines, words in repeated three-word
-#: windows per thousand words, and tenths of a character of mean word length.
-GRAINS = {"symbol_rate": 40, "dup_rate": 500, "repeat_rate": 450, "word_length": 40}
-#: A limit is q(HIGH) + SPREAD * (q(HIGH) - q(MIDDLE)) + grain.
-MIDDLE, HIGH, SPREAD = 0.5, 0.75, 3
-#: Groups with fewer documents take the limits of their language, then of the corpus.
-LEAST_GROUP = 100
+from chronoframe.llm.common import bounded, by_text, col, fresh, stored
+
+#: What is judged: a count, what it is held against, units to one, the higher quantile, and the spread.
+RATES = {
+    "symbol_rate": ("n_symbols", "word_chars", 10_000, 0.75, 8),
+    "dup_rate": ("n_dup_lines", "n_lines", 10_000, 0.9, 8),
+    "repeat_rate": ("n_repeat_words", "n_words", 10_000, 0.9, 8),
+    "word_length": ("word_chars", "n_words", 100, 0.9, 4),
+}
+MIDDLE = 0.5
+#: Documents that the next larger group counts as, in the mean of limits.
+SHRINK = 100
+CERTAIN = 5
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -84,15 +96,16 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source) and COUNTS for each document, over its whole text."""
+    """(doc_id, lang, source, text_key) and COUNTS for each document, over its whole text."""
 
     def count(batches):
         for batch in batches:
             found = text_counts(batch.column("_text"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "lang", "source")], *[pa.array(found[c], pa.int64()) for c in COUNTS]], names=["doc_id", "lang", "source", *COUNTS])
+            kept = ("doc_id", "lang", "source", "text_key")
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *[pa.array(found[c], pa.int64()) for c in COUNTS]], names=[*kept, *COUNTS])
 
-    rows = docs.select("doc_id", "lang", "source", F.col("text").alias("_text"))
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source"))
+    rows = docs.select("doc_id", "lang", "source", by_text(docs)[1].alias("text_key"), F.col("text").alias("_text"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("doc_id", "lang", "source", "text_key"))
     return rows.mapInArrow(count, f"{kinds}, " + ", ".join(f"{c} bigint" for c in COUNTS))
 
 
@@ -102,67 +115,72 @@ def bucket(x: Column) -> Column:
     return F.call_function("shiftleft", F.call_function("shiftright", x, shift), shift)
 
 
-def rates() -> dict[str, Column]:
-    share = lambda a, b: F.call_function("div", F.lit(1000) * F.col(a), F.greatest(F.col(b), F.lit(1)))
-    return {
-        "symbol_rate": share("n_symbols", "word_chars"),
-        "dup_rate": share("n_dup_lines", "n_lines"),
-        "repeat_rate": share("n_repeat_words", "n_words"),
-        "word_length": F.call_function("div", F.lit(10) * F.col("word_chars"), F.greatest(F.col("n_words"), F.lit(1))),
-    }
+def rate(name: str) -> Column:
+    """The whole number of units that a document has of a rate."""
+    count, against, units, _, _ = RATES[name]
+    return F.call_function("div", F.lit(units) * F.col(count), F.greatest(F.col(against), F.lit(1)))
 
 
 def sketches(counts: DataFrame) -> DataFrame:
     """(lang, source, rate, bucket, n) over documents that pass the base rules; rows are added up before the shuffle."""
-    each = F.inline(F.array(*[F.struct(F.lit(name).alias("rate"), bucket(x).alias("bucket")) for name, x in rates().items()]))
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("rate"), bucket(rate(name)).alias("bucket")) for name in RATES]))
     return counts.where("NOT base_failed").select("lang", "source", each).groupBy("lang", "source", "rate", "bucket").agg(F.count("*").alias("n"))
 
 
-def limits(sketch: DataFrame) -> dict[str, DataFrame]:
-    """A limit for each rate by group (g), language (l) and for the corpus (c), from merged sketches.
+def _fences(sketch: DataFrame, keys: list[str], mark: str) -> DataFrame:
+    """(keys, docs_<mark>, a fence for each rate): from the merged sketches of the keys.
 
     The windows below run over buckets, of which a group has a few hundred at most.
     """
-    levels = [("g", ["lang", "source"]), ("l", ["lang"]), ("c", [])]
-    out = {}
-    for name, keys in levels:
-        merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
-        w = Window.partitionBy(*keys, "rate").orderBy("bucket")
-        ranked = merged.select(*keys, "rate", "bucket", F.sum("n").over(w).alias("up"), F.sum("n").over(Window.partitionBy(*keys, "rate")).alias("all"))
-        q = lambda p: F.min(F.when(F.col("up") >= p * F.col("all"), F.col("bucket")))
-        per = ranked.groupBy(*keys, "rate").agg(q(MIDDLE).alias("m"), q(HIGH).alias("h"), F.max("all").alias("docs"))
-        limit = lambda r: F.max(F.when(F.col("rate") == r, F.col("h") + SPREAD * (F.col("h") - F.col("m")) + GRAINS[r]))
-        row = per.groupBy(*keys).agg(*[limit(r).alias(f"{r}_{name}") for r in GRAINS], F.max("docs").alias("docs"))
-        if name != "c":
-            row = row.where(F.col("docs") >= LEAST_GROUP)
-        out[name] = row.drop("docs")
-    return out
+    merged = sketch.groupBy(*keys, "rate", "bucket").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*keys, "rate")
+    ranked = merged.select(*keys, "rate", "bucket", F.sum("n").over(whole.orderBy("bucket")).alias("up"), F.sum("n").over(whole).alias("all"))
+    quantile = lambda name, p: F.min(F.when((F.col("rate") == name) & (F.col("up") >= p * F.col("all")), F.col("bucket")))
+    fence = lambda name, high, spread: quantile(name, high) + spread * (quantile(name, high) - quantile(name, MIDDLE))
+    return ranked.groupBy(*keys).agg(F.max("all").alias(f"docs_{mark}"), *[fence(name, x[3], x[4]).cast("double").alias(f"{name}_{mark}") for name, x in RATES.items()])
+
+
+def limits(sketch: DataFrame) -> DataFrame:
+    """(lang, source, a limit for each rate) for each group of the sketch; null is a value of its own."""
+    group, lang, corpus = _fences(sketch, ["lang", "source"], "g"), _fences(sketch, ["lang"], "l"), _fences(sketch, [], "c")
+    named = lang.withColumnRenamed("lang", "_l")
+    rows = group.join(named, F.col("lang").eqNullSafe(F.col("_l"))).crossJoin(F.broadcast(corpus))  # one row
+
+    def limit(name: str) -> Column:
+        of_lang = (F.col("docs_l") * F.col(f"{name}_l") + SHRINK * F.col(f"{name}_c")) / (F.col("docs_l") + SHRINK)
+        return ((F.col("docs_g") * F.col(f"{name}_g") + SHRINK * of_lang) / (F.col("docs_g") + SHRINK)).alias(name)
+
+    return rows.select("lang", "source", *[limit(name) for name in RATES])
 
 
 def quality(docs: DataFrame) -> DataFrame:
-    """One row for each document: counts, the base rules, and the verdict of the adaptive limits.
+    """One row for each document: counts, the base rules, the verdict of the adaptive limits, the limits and the text's key.
 
     Null and empty texts have no words and fail the base rules.  A null language or source is a group
     of its own.  Repeated rows are judged each; documents keep their verdict whatever their order.
     Extra columns are left out.  The limits are taken over the documents that pass the base rules; a
-    document is kept when no rate is above its group's limit.
+    document is kept when it passes them and no count is above its group's limit.
     """
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    counts = measured(docs).withColumn("base_failed", base)
-    found = limits(sketches(counts))
-    rows = counts.withColumns(rates())
-    none = F.lit("")  # with a first letter for values, so that null has a key of its own
-    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), none)
-    rows = rows.withColumns({"_l": key("lang"), "_s": key("source")})
-    named = {n: t.withColumns({k: key(c) for k, c in (("_l", "lang"), ("_s", "source")) if c in t.columns}).drop("lang", "source") for n, t in found.items()}
-    rows = rows.join(named["g"], ["_l", "_s"], "left").join(named["l"], ["_l"], "left").crossJoin(F.broadcast(_at_least_one(named["c"])))  # one row
-    above = F.lit(False)
-    for r in GRAINS:
-        above = above | (F.col(r) > F.coalesce(F.col(f"{r}_g"), F.col(f"{r}_l"), F.col(f"{r}_c")))
-    kept = ~F.col("base_failed") & ~F.coalesce(above, F.lit(False))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "source", *GRAINS)
-
-
-def _at_least_one(row: DataFrame) -> DataFrame:
-    """The corpus limits, or nulls where no document passes the base rules."""
-    return row.agg(*[F.max(c).alias(c) for c in row.columns])
+    counts = stored(measured(docs).withColumn("base_failed", base), "counts")
+    # a row for each group, with four limits
+    found = bounded(limits(sketches(counts)).withColumnsRenamed({"lang": "_lang", "source": "_source"}))
+    rows = counts.join(found, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+
+    def above(name: str) -> Column:
+        count, against, units, _, _ = RATES[name]
+        return units * F.col(count) > F.col(name) * F.col(against) + CERTAIN * units * F.sqrt(F.col(count).cast("double"))
+
+    # a group without a limit has no document that passes the base rules
+    kept = ~F.col("base_failed") & ~F.coalesce(reduce(or_, [above(name) for name in RATES]), F.lit(False))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "source", "n_lines", *RATES, "text_key")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with all their columns; rows that share an id are judged each by its text and group."""
+    rejected = quality(docs).where("NOT kept").select("doc_id", F.col("text_key").alias("key"), "lang", "source").distinct()
+    names = fresh(docs, "_id", "_key", "_lang", "_source")
+    rejected = stored(rejected, "rejected").toDF(*names)
+    doc_id, key = by_text(docs)
+    same = doc_id.eqNullSafe(F.col(names[0])) & (key == F.col(names[1])) & col("lang").eqNullSafe(F.col(names[2])) & col("source").eqNullSafe(F.col(names[3]))
+    return docs.join(bounded(rejected), same, "left_anti")

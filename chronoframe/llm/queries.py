@@ -35,7 +35,7 @@ def op2(spark, sf_dir):
 
 @query("op4_quality_rules")
 def op4(spark, sf_dir):
-    return quality.quality(documents(spark, sf_dir))
+    return quality.quality(documents(spark, sf_dir)).drop("text_key", *quality.RATES)
 
 
 @query("op5_url_filters")
