@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.llm.common import bounded, stored
+from chronoframe.llm.common import bounded, match_rows, stored
 
 SPAN, GRAM = 13, 8
 
@@ -80,11 +80,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # one row for each distinct print; only those that an item has come through the join
     all_prints = F.concat(*[_tagged(c, n) for c, n in kinds])
     met = with_prints(texts).select("doc_id", "_key", F.explode_outer(all_prints).alias("p")).select("doc_id", "_key", "p.print", "p.span").join(bounded(prints), ["print", "span"])
-    met = stored(met.groupBy("doc_id", "_key").agg(*[F.collect_set(F.when(F.col("span") == n, F.col("print"))).alias(f"met_{c}") for c, n in kinds]), "met")
+    met = stored(met.select("doc_id", "_key").distinct(), "met")
     near = _joined(texts, met, "inner")
-    starts = [F.transform(_starts(c), _window(n)) for c, n in kinds]
-    hits = with_prints(near).select("doc_id", "_key", F.explode_outer(F.concat(*starts)).alias("w")).select("doc_id", "_key", "w.*")
-    hits = hits.join(bounded(windows), ["window", "span"])
+    # in these documents every window is written out, and looked up by its print before it is compared
+    starts = F.concat(*[_windows(c, n) for c, n in kinds])
+    hits = with_prints(near).select("doc_id", "_key", F.explode_outer(starts).alias("w")).select("doc_id", "_key", "w.*")
+    hits = hits.join(bounded(prints), ["print", "span"], "left_semi").join(bounded(windows), ["window", "span"])
     covered = F.array_distinct(F.flatten(F.transform(F.collect_set(F.struct("start", "span")), lambda s: F.sequence(s["start"], s["start"] + s["span"] - 1))))
     found = hits.groupBy("doc_id", "_key").agg(F.size(covered).cast("bigint").alias("n_hit"), F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
     found = stored(found, "found")
@@ -106,17 +107,13 @@ def _tagged(column: str, span: int) -> Column:
     return F.transform(F.array_distinct(column), lambda x: F.struct(x.alias("print"), F.lit(span).alias("span")))
 
 
-def _starts(column: str) -> Column:
-    """Positions, from 1, of the windows whose print an item has."""
+def _windows(column: str, span: int) -> Column:
+    """(start, span, print, window) of every window of `span` words; positions count from 1."""
     at = F.when(F.size(column) > 0, F.sequence(F.lit(1), F.size(column))).otherwise(F.array().cast("array<int>"))
-    return F.filter(at, lambda i: F.array_contains(f"met_{column}", F.get(F.col(column), i - 1)))
-
-
-def _window(span: int):
-    return lambda i: F.struct(i.alias("start"), F.lit(span).alias("span"), F.array_join(F.slice("words", i, F.lit(span)), " ").alias("window"))
+    return F.transform(at, lambda i: F.struct(i.alias("start"), F.lit(span).alias("span"), F.get(F.col(column), i - 1).alias("print"), F.array_join(F.slice("words", i, F.lit(span)), " ").alias("window")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(bounded(stored(bad, "contaminated")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")), "left_anti")
+    """The documents that are not contaminated, with all their columns; rows that share an id are judged each by its text."""
+    bad = contamination(docs, benchmark).where("contaminated").select("doc_id", F.col("text_key").alias("key")).distinct()
+    return match_rows(docs, stored(bad, "contaminated"), "left_anti")
