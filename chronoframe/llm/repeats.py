@@ -1,7 +1,7 @@
 """Removal of byte strings that an earlier document has: suffix sorting of shards by induction.
 
 Of the 50-byte strings of all documents only those can be repeated whose key is: the least hash of
-the 16-byte grams in them.  Neighbouring strings with one key are kept together as a stretch of text.
+the 32-byte grams in them.  Neighbouring strings with one key are kept together as a stretch of text.
 A bit table of fixed size, filled from all documents, tells which keys more than one document may
 have; stretches with such keys go to shards by key, equal stretches of a task once.  Documents whose whole text is that of an earlier one are found first and stay
 out of this.  A shard takes equal stretches as one, sorts the suffixes of those whose key others
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from chronoframe.llm import wordhash as W
 from chronoframe.llm.common import bounded, discard, match_rows, stored
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 32
 #: Bits of the table of keys, and how many are sent at once; a fuller table only lets more through.
-TABLE_BITS, RANGE_BITS = 28, 20
+TABLE_BITS, RANGE_BITS = 29, 20
 #: Bytes of all texts for each shard, and bytes of text whose stretches a task sends together.
 SHARD, FLUSH = 4 << 20, 6 << 20
 #: Bytes that the queues of one sort keep in memory.
@@ -41,7 +41,7 @@ QUEUED = 256 << 20
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """A hash for each GRAM = 16 consecutive bytes, by doubling."""
+    """A hash for each GRAM = 32 consecutive bytes, by doubling."""
     h = W._VALUES[data]
     base = W._BASE
     step = 1
