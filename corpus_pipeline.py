@@ -7,16 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoframe.llm import decontaminate, jaccard, lines, packing, quality
-from chronoframe.llm.common import bounded, stored, without
+from chronoframe.llm.common import bounded, col, fresh, stored
 
 #: SQL cannot express the sketches, the tokenizer and the packing; tests/llm/test_pipeline.py has plain versions.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; a null id is judged like any other."""
-    rejected = quality.quality(docs).where("NOT kept").select("doc_id")
-    return without(docs, rejected)
+    """Documents that the rules reject go; each row is judged by its own text and group, whatever its id."""
+    return quality.accepted(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +29,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows count each, also those that are there repeatedly under one id or have none; of rows that share
     the smallest id, that with the least hash of its text stays.  Texts without words stand alone and stay.
     """
-    rows = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = jaccard.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row").alias("_order")
-    members = stored(rows.select("_row", order).join(found, "_row"), "members")
-    first = members.groupBy("_group").agg(F.min("_order")["_row"].alias("_row"))
-    gone = stored(members.join(first, "_row", "left_anti").select("_row"), "gone")
-    return rows.join(bounded(gone), "_row", "left_anti").select(*docs.columns)
+    row, group, order, gone = fresh(docs, "_row", "_group", "_order", "_gone")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = jaccard.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias(row), F.col("component_id").alias(group))
+    place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col(row).alias("row")).alias(order)
+    members = stored(rows.select(row, place).join(found, row), "members")
+    first = members.groupBy(group).agg(F.min(order)["row"].alias(row))
+    others = stored(members.join(first, row, "left_anti").select(F.col(row).alias(gone)), "gone")
+    return rows.join(bounded(others), F.col(row) == F.col(gone), "left_anti").select(*[col(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
