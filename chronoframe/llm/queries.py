@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, repeats, sharding, token_files, urls, wordpiece
+from chronoframe.llm import decontaminate, jaccard, lines, packing, quality, repeats, sharding, sql, token_files, urls, wordpiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,7 +33,7 @@ def op2(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-@query("op4_quality_rules")
+@query("op4_quality_rules", sql.QUALITY)
 def op4(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir)).drop("text_key", *quality.RATES)
 
@@ -53,19 +53,19 @@ def op9(spark, sf_dir):
     return sharding.hilbert_shards(documents(spark, sf_dir))
 
 
-@query("op8_line_dedup")
+@query("op8_line_dedup", sql.LINES)
 def op8(spark, sf_dir):
     """Line counts and the checksum of what stays of each document."""
     kept = lines.dedup_lines(documents(spark, sf_dir), lines.LEAST_WORDS)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", sql.CONTAMINATION)
 def op10(spark, sf_dir):
     return decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
 
 
-@query("op1_ngram_jaccard")
+@query("op1_ngram_jaccard", sql.NEAR_DUPLICATES)
 def op1(spark, sf_dir):
     return jaccard.near_duplicates(documents(spark, sf_dir))
 

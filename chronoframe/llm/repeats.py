@@ -258,7 +258,8 @@ def least_owners(pieces: np.ndarray, lengths: np.ndarray, owners: np.ndarray) ->
 
 
 def _cells(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    # a key is the least of many hashes, so its high bits are nearly always 0 until it is mixed anew
+    return (W.mix(key) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
 
 def _key_table(texts: DataFrame) -> tuple[np.ndarray, int]:
