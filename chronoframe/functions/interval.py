@@ -48,6 +48,33 @@ def skipped(df: DataFrame, bounds: str = HALF_OPEN) -> DataFrame:
     return df.agg(F.count_if(~is_valid(F.col("ts"), F.col("te"), bounds)).alias("skipped"))
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def half_open(df: DataFrame, bounds: str) -> DataFrame:
+    """Valid rows as half-open intervals of whole points: a closed [ts, te] is [ts, te + 1); te is below the largest 64-bit integer then."""
+    rows = valid(df, bounds)
+    return rows.withColumn("te", F.col("te") + 1) if bounds == CLOSED else rows
+
+
+def as_bounds(df: DataFrame, bounds: str) -> DataFrame:
+    """Half-open rows in the given bounds again."""
+    return df.withColumn("te", F.col("te") - 1) if bounds == CLOSED else df
+
+
 def floor_div(x: Column, width: int) -> Column:
     """The largest integer not above x / width, for negative x as well."""
     width = F.lit(int(width)).cast("bigint")

@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.interval import valid
+from chronoframe.functions.interval import CLOSED, HALF_OPEN, as_bounds, check_bounds, column, fresh, half_open, valid
 from chronoframe.operators.join import keyed_overlap_join, overlap_join
-from chronoframe.operators.ordered import depth_steps
+from chronoframe.operators.ordered import depth_steps, key_names
 
 
-def segments(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Consecutive distinct end points [ts, te) with at least one live row, and their number `n`.
+def segments(df: DataFrame, keys: list[str] | None = None, bounds: str = HALF_OPEN) -> DataFrame:
+    """Stretches between consecutive distinct end points with at least one live row, and their number `n`.
 
-    Neighbouring segments with the same rows are not merged.
+    Closed intervals are taken as runs of whole points, and so are the stretches.  Neighbouring
+    segments with the same rows are not merged.  Null keys are a key of their own.
     """
     keys = keys or []
-    return depth_steps(valid(df), keys).where("n > 0 AND q IS NOT NULL").select(*keys, F.col("p").alias("ts"), F.col("q").alias("te"), "n")
+    named = [F.col(n).alias(k) for n, k in zip(key_names(keys), keys, strict=True)]
+    steps = depth_steps(half_open(df, check_bounds(bounds)), keys).where("n > 0 AND q IS NOT NULL")
+    last = F.col("q") - 1 if bounds == CLOSED else F.col("q")
+    return steps.select(*named, F.col("p").alias("ts"), last.alias("te"), "n")
 
 
 def segment_aggregate(df: DataFrame, aggregates: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
@@ -33,11 +37,19 @@ def max_depth(df: DataFrame) -> DataFrame:
     return depth_steps(valid(df), []).agg(F.coalesce(F.max("n"), F.lit(0)).alias("partitions"))
 
 
-def normalize(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Splits each row at every end point of a row with the same keys that lies inside it."""
-    rows = valid(df).withColumn("_row", F.monotonically_increasing_id())
-    points = valid(df).select(*keys, F.explode(F.array("ts", "te")).alias("_p")).distinct()
-    at = rows.join(points, keys).where("ts <= _p AND _p < te")
-    w = Window.partitionBy("_row").orderBy("_p")
-    out = [c for c in df.columns if c not in ("ts", "te")]
-    return at.select(F.col("_p").alias("ts"), F.coalesce(F.lead("_p").over(w), F.col("te")).alias("te"), *out)
+def normalize(df: DataFrame, keys: list[str], bounds: str = HALF_OPEN) -> DataFrame:
+    """Splits each row at every end point of a row with the same keys that lies inside it; null keys are equal.
+
+    Repeated rows are split each.  Every row ends at an end point of its keys, so the pieces are the
+    stretches between neighbouring points, the same for all rows.
+    """
+    rows = half_open(df, check_bounds(bounds))
+    point, following, *names = fresh(df, "_p", "_q", *key_names(keys))
+    same = [column(k).alias(n) for k, n in zip(keys, names, strict=True)]
+    points = rows.select(*same, F.explode(F.array("ts", "te")).alias(point)).distinct()
+    points = points.withColumn(following, F.lead(point).over(Window.partitionBy(*names).orderBy(point))).where(F.col(following).isNotNull())
+    on = (F.col("ts") <= F.col(point)) & (F.col(point) < F.col("te"))
+    for k, n in zip(keys, names, strict=True):
+        on = on & column(k).eqNullSafe(F.col(n))
+    at, out = rows.join(points, on), [column(c) for c in df.columns if c not in ("ts", "te")]
+    return as_bounds(at.select(F.col(point).alias("ts"), F.col(following).alias("te"), *out), bounds)

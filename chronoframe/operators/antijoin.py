@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.functions.interval import HALF_OPEN, valid
+from chronoframe.functions.interval import CLOSED, HALF_OPEN, as_bounds, column, fresh, half_open, valid
 from chronoframe.operators.join import keyed_overlap_join, overlap_join
-from chronoframe.operators.ordered import depth_steps
+from chronoframe.operators.ordered import depth_steps, key_names
 
-MINUS_INFINITY, PLUS_INFINITY = -(1 << 62), 1 << 62
+#: The ends of gaps that are open; no interval goes beyond.
+MINUS_INFINITY, PLUS_INFINITY = -(1 << 63), (1 << 63) - 1
 
 
 def gaps(s: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -19,32 +23,41 @@ def gaps(s: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """
     keys = keys or []
     steps = depth_steps(valid(s, HALF_OPEN), keys)
-    inner = steps.where("n = 0").select(*keys, F.col("p").alias("ts"), F.coalesce("q", F.lit(PLUS_INFINITY)).alias("te"))
-    heads = (valid(s).groupBy(*keys) if keys else valid(s)).agg(F.min("ts").alias("_m"))
-    heads = heads.select(*keys, F.lit(MINUS_INFINITY).alias("ts"), F.coalesce("_m", F.lit(PLUS_INFINITY)).alias("te"))
+    named = [F.col(n).alias(k) for n, k in zip(key_names(keys), keys, strict=True)]
+    inner = steps.where("n = 0").select(*named, F.col("p").alias("ts"), F.coalesce("q", F.lit(PLUS_INFINITY)).alias("te"))
+    kept = [column(k) for k in keys]
+    heads = (valid(s).groupBy(*kept) if keys else valid(s)).agg(F.min("ts").alias("_m"))
+    heads = heads.select(*kept, F.lit(MINUS_INFINITY).alias("ts"), F.coalesce("_m", F.lit(PLUS_INFINITY)).alias("te"))
     return heads.unionByName(inner)
 
 
-def temporal_anti_join(r: DataFrame, s: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The maximal parts of each row of R that no row of S (with the same keys) covers, half-open.
+def temporal_anti_join(r: DataFrame, s: DataFrame, keys: list[str] | None = None, bounds: str = HALF_OPEN) -> DataFrame:
+    """The maximal parts of each row of R that no row of S (with the same keys) covers.
+
+    Closed intervals are taken as runs of whole points.
 
     A covered row gives nothing, a row with a hole in the middle two.  A row whose keys S does not
     have, or whose keys are null, is returned whole.
     """
+    if bounds == CLOSED:
+        return as_bounds(temporal_anti_join(half_open(r, bounds), half_open(s, bounds), keys), bounds)
     g, out = gaps(s, keys), [c for c in r.columns if c not in ("ts", "te")]
     if not keys:
         low, high = valid(r).agg(F.min("ts"), F.max("te")).first()
         if low is None:
-            return r.where(F.lit(False)).select("ts", "te", *out)
+            return r.where(F.lit(False)).select("ts", "te", *[column(c) for c in out])
         # the open ends are cut to the span of R, so that every gap has a finite length
         g = g.select(F.greatest("ts", F.lit(low)).alias("ts"), F.least("te", F.lit(high)).alias("te"))
         pieces = overlap_join(r, g)
     else:
         pieces = keyed_overlap_join(r, g, keys)
-    pieces = pieces.select("ts", "te", *[F.col(f"`r_{c}`").alias(c) for c in out])
+    pieces = pieces.select("ts", "te", *[column(f"r_{c}").alias(c) for c in out])
     if not keys:
         return pieces
-    alone = valid(r).join(valid(s).select(*keys).distinct(), keys, "left_anti").select("ts", "te", *out)
+    names = fresh(r, *key_names(keys))
+    known = valid(s).select(*[column(k).alias(n) for k, n in zip(keys, names, strict=True)]).distinct()
+    met = reduce(and_, [column(k) == F.col(n) for k, n in zip(keys, names, strict=True)])
+    alone = valid(r).join(known, met, "left_anti").select("ts", "te", *[column(c) for c in out])
     return pieces.unionByName(alone)
 
 
@@ -53,6 +66,6 @@ def temporal_difference(r: DataFrame, s: DataFrame, data: str = "data") -> DataF
     return temporal_anti_join(r, s, [data])
 
 
-def temporal_intersection(r: DataFrame, s: DataFrame, data: str = "data") -> DataFrame:
+def temporal_intersection(r: DataFrame, s: DataFrame, data: str = "data", bounds: str = HALF_OPEN) -> DataFrame:
     """One row for each pair of rows with equal data that overlap: the common part."""
-    return keyed_overlap_join(r, s, [data]).select("ts", "te", F.col(f"r_{data}").alias(data))
+    return keyed_overlap_join(r, s, [data], bounds).select("ts", "te", column(f"r_{data}").alias(data))

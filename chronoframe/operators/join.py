@@ -12,18 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoframe.functions.interval import CLOSED, HALF_OPEN, check_bounds, floor_div, intersection, overlaps, valid
+from chronoframe.functions.interval import CLOSED, HALF_OPEN, check_bounds, column, floor_div, intersection, overlaps, valid
 from chronoframe.plans.width import choose_width
 
 
 def _sides(r: DataFrame, s: DataFrame, bounds: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with prefixed columns, so that clashing names stay apart, and without invalid rows."""
-    return tuple(valid(x, bounds).select(*[F.col(f"`{c}`").alias(f"{p}_{c}") for c in x.columns]) for p, x in (("r", r), ("s", s)))
+    return tuple(valid(x, bounds).select(*[column(c).alias(f"{p}_{c}") for c in x.columns]) for p, x in (("r", r), ("s", s)))
 
 
 def _finish(pairs: DataFrame, r: DataFrame, s: DataFrame) -> DataFrame:
     ts, te = intersection(F.col("r_ts"), F.col("r_te"), F.col("s_ts"), F.col("s_te"))
-    keep = [f"r_{c}" for c in r.columns] + [f"s_{c}" for c in s.columns]
+    keep = [column(f"r_{c}") for c in r.columns] + [column(f"s_{c}") for c in s.columns]
     return pairs.select(ts.alias("ts"), te.alias("te"), *keep)
 
 
@@ -36,7 +36,7 @@ def keyed_overlap_join(r: DataFrame, s: DataFrame, keys: list[str], bounds: str
     a, b = _sides(r, s, check_bounds(bounds))
     on = _condition(bounds)
     for k in keys:
-        on = on & (F.col(f"r_{k}") == F.col(f"s_{k}"))
+        on = on & (column(f"r_{k}") == column(f"s_{k}"))
     return _finish(a.join(b, on), r, s)
 
 
@@ -117,6 +117,6 @@ def interval_equality_join(r: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def range_select(df: DataFrame, low: int, high: int, bounds: str = HALF_OPEN) -> DataFrame:
-    """Rows that overlap the query range; both comparisons reach the Parquet scan."""
+    """Rows that overlap the query range, invalid ones included; on stored columns `ts` and `te` both comparisons reach the Parquet scan."""
     lo, hi = F.lit(low).cast("bigint"), F.lit(high).cast("bigint")
     return df.where(overlaps(F.col("ts"), F.col("te"), lo, hi, bounds))

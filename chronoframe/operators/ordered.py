@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoframe.functions.interval import floor_div
+from chronoframe.functions.interval import column, floor_div
 
 
 def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
@@ -24,13 +24,20 @@ def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return at.join(F.broadcast(first), "_part").withColumn("rank", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
 
 
+def key_names(keys: list[str]) -> list[str]:
+    return [f"_k{i}" for i in range(len(keys))]
+
+
 def depth_steps(df: DataFrame, keys: list[str], granules: int = 1024) -> DataFrame:
     """For each key and distinct end point p: `n` live rows from p to the next end point `q` (null at the last).
 
+    The keys are named by `key_names`, so that keys of any name stay apart from p, q and n.
+
     The events are added up by point before any window.  Without keys, running sums are taken
     inside granules of time and over the (at most `granules` + 1) granules.
     """
-    events = df.select(*keys, F.inline(F.array(*[F.struct(F.col(c).alias("p"), F.lit(d).cast("bigint").alias("d")) for c, d in (("ts", 1), ("te", -1))])))
+    given, keys = keys, key_names(keys)
+    events = df.select(*[column(k).alias(name) for k, name in zip(given, keys, strict=True)], F.inline(F.array(*[F.struct(F.col(c).alias("p"), F.lit(d).cast("bigint").alias("d")) for c, d in (("ts", 1), ("te", -1))])))
     points = events.groupBy(*keys, "p").agg(F.sum("d").alias("d"))
     if keys:
         w = Window.partitionBy(*keys).orderBy("p")

@@ -124,6 +124,14 @@ def antijoin_keyed(spark, sf):
     return antijoin.temporal_anti_join(orders_iv(spark, sf), lineitem_iv(spark, sf), ["k"]).select("ts", "te", "id", "k")
 
 
+CLOSED_VIEWS = VIEWS + """, R1 AS (SELECT ts, te + 1 AS te, k, id, data FROM R), S1 AS (SELECT ts, te + 1 AS te, k, id, data FROM S), E1 AS (SELECT ts, te + 1 AS te, k, id, data FROM E)"""
+
+
+@query("antijoin_keyed_closed", f"SELECT ts, te - 1 AS te, id, k FROM ({ANTI_KEYED.format(sweep=_sweep('S1', 'k'), k='k', r='R1', s='S1').replace(VIEWS, CLOSED_VIEWS)})")
+def antijoin_keyed_closed(spark, sf):
+    return antijoin.temporal_anti_join(orders_iv(spark, sf), lineitem_iv(spark, sf), ["k"], CLOSED).select("ts", "te", "id", "k")
+
+
 @query("temporal_difference", ANTI_KEYED.format(sweep=_sweep("R", "data"), k="data", r="E2", s="R").replace("E AS (", "E2 AS (SELECT ts, te, id, CASE data WHEN 'A' THEN '1-URGENT' WHEN 'N' THEN '2-HIGH' ELSE data END AS data FROM S),\nE AS (", 1))
 def temporal_difference(spark, sf):
     renamed = F.when(F.col("data") == "A", "1-URGENT").when(F.col("data") == "N", "2-HIGH").otherwise(F.col("data"))
@@ -136,6 +144,17 @@ def temporal_intersection(spark, sf):
     return antijoin.temporal_intersection(r, r).groupBy("ts", "te", "data").agg(F.count("*").alias("n"))
 
 
+@query("temporal_intersection_closed", f"WITH {VIEWS} SELECT greatest(a.ts, b.ts) AS ts, least(a.te, b.te) AS te, a.data AS data, count(*) AS n FROM R a JOIN R b ON a.data = b.data AND a.ts <= b.te AND a.te >= b.ts GROUP BY 1, 2, 3")
+def temporal_intersection_closed(spark, sf):
+    r = orders_iv(spark, sf)
+    return antijoin.temporal_intersection(r, r, bounds=CLOSED).groupBy("ts", "te", "data").agg(F.count("*").alias("n"))
+
+
+@query("temporal_agg_segments_closed", f"WITH {CLOSED_VIEWS}, {_sweep('S1')} SELECT ts, te - 1 AS te, n FROM steps WHERE n > 0 AND te IS NOT NULL")
+def temporal_agg_segments_closed(spark, sf):
+    return aggregate.segments(lineitem_iv(spark, sf), bounds=CLOSED)
+
+
 @query("temporal_agg_segments", f"WITH {VIEWS}, {_sweep('S')} SELECT ts, te, n FROM steps WHERE n > 0 AND te IS NOT NULL")
 def temporal_agg_segments(spark, sf):
     return aggregate.segments(lineitem_iv(spark, sf))
@@ -159,6 +178,12 @@ def normalize_keyed(spark, sf):
     return aggregate.normalize(orders_iv(spark, sf), ["k"]).select("k", "id", "ts", "te")
 
 
+@query("normalize_keyed_closed", f"""WITH {CLOSED_VIEWS}, RR AS (SELECT *, row_number() OVER () AS rid FROM R1), pts AS (SELECT DISTINCT k, p FROM (SELECT k, ts AS p FROM R1 UNION ALL SELECT k, te FROM R1))
+SELECT r.k AS k, r.id AS id, p AS ts, coalesce(lead(p) OVER (PARTITION BY rid ORDER BY p), r.te) - 1 AS te FROM RR r JOIN pts ON pts.k = r.k AND r.ts <= p AND p < r.te""")
+def normalize_keyed_closed(spark, sf):
+    return aggregate.normalize(orders_iv(spark, sf), ["k"], CLOSED).select("k", "id", "ts", "te")
+
+
 @query("dip_num_partitions", f"WITH {VIEWS}, {_sweep('S')} SELECT max(n) AS partitions FROM steps")
 def dip_num_partitions(spark, sf):
     return aggregate.max_depth(lineitem_iv(spark, sf))
