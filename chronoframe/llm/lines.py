@@ -26,7 +26,7 @@ CELLS = 1 << 18
 LEAST_WORDS = 1
 PERCENT = 80
 #: Rarest words of a set by which it meets the earliest set.
-LEADS = 4
+LEADS = 8
 #: Words of this frequency class (binary logarithm of their number) and above meet by size band too.
 FREQUENT = 7
 #: Sets of this size and above have 256 more parity bits, by which pairs are tried before their words are read.
@@ -145,7 +145,7 @@ def _prefix_rows(sets: DataFrame, shorter: bool) -> DataFrame:
     """A row for each prefix word of each set; by `band`, -1 for words that are not frequent, similar sets meet."""
     n = F.col("size")
     head = F.slice("head", F.lit(1), _shorter_prefix(n) if shorter else _longer_prefix(n))
-    rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", F.posexplode(head).alias("pos", "word"))
+    rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", "settled", F.posexplode(head).alias("pos", "word"))
     frequent = F.col("word") >= FREQUENT << KEY_BITS
     if not shorter:
         return rows.withColumn("band", F.when(frequent, _band(n)).otherwise(-1))
@@ -154,21 +154,22 @@ def _prefix_rows(sets: DataFrame, shorter: bool) -> DataFrame:
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: sets that share a prefix word and pass the filters; no two that are both `settled`."""
+    """(a, b), a < b: sets that share a prefix word and pass the filters, where b is not `settled`; no two settled ones meet."""
 
     def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-        x, y = (df.select("word", "band", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "size", "bits", "pos")]) for p, df in (("x", smaller), ("y", larger)))
+        x, y = (df.select("word", "band", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "size", "bits", "settled", "pos")]) for p, df in (("x", smaller), ("y", larger)))
         n, m = F.col("x_size"), F.col("y_size")
         order = (n < m) | ((n == m) & (F.col("x_num") < F.col("y_num")))
         # what the two can share: what stands before the common word, the word, and what stands after it
         best = F.least("x_pos", "y_pos") + F.least(n - F.col("x_pos"), m - F.col("y_pos"))
         close = (100 * n >= PERCENT * m) & similar(best, n, m) & may_match(n, m, F.col("x_bits"), F.col("y_bits"))
-        return x.join(y, ["word", "band"]).where(order & close)
+        later = ~F.when(F.col("x_num") < F.col("y_num"), F.col("y_settled")).otherwise(F.col("x_settled"))
+        return x.join(y, ["word", "band"]).where(order & later & close)
 
     open_, settled = sets.where("NOT settled"), sets.where("settled")
     both = F.least("x_num", "y_num").alias("a"), F.greatest("x_num", "y_num").alias("b")
     pairs = meet(_prefix_rows(sets, True), _prefix_rows(open_, False)).select(*both)
-    rest = meet(_prefix_rows(open_, True), bounded(_prefix_rows(settled, False))).where("x_num > y_num").select(*both)
+    rest = meet(_prefix_rows(open_, True), bounded(_prefix_rows(settled, False))).select(*both)
     pairs = pairs.unionByName(rest).distinct()
     # of long sets 256 bits more
     for p in "ab":
