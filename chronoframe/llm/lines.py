@@ -30,7 +30,8 @@ LEADS = 8
 #: Words of this frequency class (binary logarithm of their number) and above meet by size band too.
 FREQUENT = 7
 #: Sets of this size and above have 256 more parity bits, by which pairs are tried before their words are read.
-WIDE = 64
+#: Below it similar sets differ in 21 words at most, and 64 bits of unrelated sets in 32 on average.
+WIDE = 96
 #: Bits of the word hash in a key, below five bits of frequency class; sets that share a key by chance only cost a test.
 KEY_BITS = 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,7 +103,8 @@ def _key(table: list[int]):
 
     def key(h: Column) -> Column:
         rank = F.get(classes, h.bitwiseAND(F.lit(len(table) - 1))).cast("int")
-        return F.call_function("shiftleft", rank, F.lit(KEY_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(31 - KEY_BITS)))
+        found = F.call_function("shiftleft", rank, F.lit(KEY_BITS)).bitwiseOR(F.call_function("shiftrightunsigned", h, F.lit(31 - KEY_BITS)))
+        return F.coalesce(found, F.lit(0))  # there are no nulls; arrays whose type says so are sorted as plain integers
 
     return key
 
@@ -128,43 +130,57 @@ def _band(n: Column) -> Column:
 
 def may_match(na, nb, bits_a, bits_b):
     """False where sizes, or bits that differ, leave too few words to share: at most (na + nb - differing) / 2 are shared."""
-    best = F.floor((na + nb - F.bit_count(bits_a.bitwiseXOR(bits_b))) / 2)
+    best = F.shiftright(na + nb - F.bit_count(bits_a.bitwiseXOR(bits_b)), 1)
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & similar(best, na, nb)
 
 
+def _meeting(word: str, band: Column) -> Column:
+    """Word and band (from -1) in one number, by which rows are dealt and sorted."""
+    return F.shiftleft(F.col(word).cast("bigint"), 8).bitwiseOR((band + 1).cast("bigint"))
+
+
 def _led(sets: DataFrame) -> DataFrame:
     """(a, b): each set b with the earliest set of one of its rarest words and its band, where bits allow a match."""
-    rows = sets.where(F.col("size") * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", _band(F.col("size")).alias("band"), F.explode(F.slice("head", 1, LEADS)).alias("word"))
-    leads = rows.groupBy("word", "band").agg(F.min("num").alias("a"))
-    pairs = rows.join(leads, ["word", "band"]).where("a < num").select("a", F.col("num").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb")).distinct()
+    rows = sets.where(F.col("size") * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", F.explode(F.slice("head", 1, LEADS)).alias("word"))
+    rows = rows.select(_meeting("word", _band(F.col("size"))).alias("at"), "num", "size", "bits")
+    leads = rows.groupBy("at").agg(F.min("num").alias("a"), F.max("num").alias("last")).where("a < last").select("at", "a")
+    pairs = rows.join(leads, "at").where("a < num").select("a", F.col("num").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb")).distinct()
     led = sets.select(F.col("num").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
     return pairs.join(led, "a").where(may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"))).select("a", "b")
 
 
 def _prefix_rows(sets: DataFrame, shorter: bool) -> DataFrame:
-    """A row for each prefix word of each set; by `band`, -1 for words that are not frequent, similar sets meet."""
+    """A row for each prefix word of each set, with size, position and `settled` in one number.
+
+    Similar sets meet `at` a word, with the band -1 for words that are not frequent.
+    """
     n = F.col("size")
     head = F.slice("head", F.lit(1), _shorter_prefix(n) if shorter else _longer_prefix(n))
     rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", "settled", F.posexplode(head).alias("pos", "word"))
+    shape = F.shiftleft(n.cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("bigint"), 1)).bitwiseOR(F.col("settled").cast("bigint"))
     frequent = F.col("word") >= FREQUENT << KEY_BITS
-    if not shorter:
-        return rows.withColumn("band", F.when(frequent, _band(n)).otherwise(-1))
-    # a partner that is no smaller lies in the same band or the next
-    return rows.withColumn("band", F.explode(F.when(frequent, F.array(_band(n), _band(n) + 1)).otherwise(F.array(F.lit(-1)))))
+    if shorter:
+        # a partner that is no smaller lies in the same band or the next
+        rows = rows.withColumn("band", F.explode(F.when(frequent, F.array(_band(n), _band(n) + 1)).otherwise(F.array(F.lit(-1)))))
+    else:
+        rows = rows.withColumn("band", F.when(frequent, _band(n)).otherwise(-1))
+    return rows.select(_meeting("word", F.col("band")).alias("at"), "num", "bits", shape.alias("shape"))
 
 
 def _met(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: sets that share a prefix word and pass the filters, where b is not `settled`; no two settled ones meet."""
 
     def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-        x, y = (df.select("word", "band", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "size", "bits", "settled", "pos")]) for p, df in (("x", smaller), ("y", larger)))
-        n, m = F.col("x_size"), F.col("y_size")
+        x, y = (df.select("at", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "bits", "shape")]) for p, df in (("x", smaller), ("y", larger)))
+        n, m = (F.shiftright(f"{p}_shape", 32) for p in "xy")
+        x_pos, y_pos = (F.shiftright(f"{p}_shape", 1).bitwiseAND(F.lit((1 << 31) - 1)) for p in "xy")
+        x_settled, y_settled = (F.col(f"{p}_shape").bitwiseAND(F.lit(1)) == 1 for p in "xy")
         order = (n < m) | ((n == m) & (F.col("x_num") < F.col("y_num")))
         # what the two can share: what stands before the common word, the word, and what stands after it
-        best = F.least("x_pos", "y_pos") + F.least(n - F.col("x_pos"), m - F.col("y_pos"))
+        best = F.least(x_pos, y_pos) + F.least(n - x_pos, m - y_pos)
         close = (100 * n >= PERCENT * m) & similar(best, n, m) & may_match(n, m, F.col("x_bits"), F.col("y_bits"))
-        later = ~F.when(F.col("x_num") < F.col("y_num"), F.col("y_settled")).otherwise(F.col("x_settled"))
-        return x.join(y, ["word", "band"]).where(order & later & close)
+        later = ~F.when(F.col("x_num") < F.col("y_num"), y_settled).otherwise(x_settled)
+        return x.join(y, "at").where(order & later & close)
 
     open_, settled = sets.where("NOT settled"), sets.where("settled")
     both = F.least("x_num", "y_num").alias("a"), F.greatest("x_num", "y_num").alias("b")
