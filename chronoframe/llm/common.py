@@ -20,11 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: While this is set, Spark removes the shuffle files of a job when the job has ended, not when the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Writes the rows as Parquet to the shared folder and reads them back: lost executors lose nothing of it."""
+    """Writes the rows as Parquet to the shared folder and reads them back: lost executors lose nothing of it.
+
+    The shuffle files behind the rows go with the end of the job; a plan that is run again makes them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
