@@ -15,6 +15,8 @@ again.  What passes is decided by exact intersection of the words.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ FREQUENT = 7
 #: Sets of this size and above have 256 more parity bits, by which pairs are tried before their words are read.
 #: Below it similar sets differ in 21 words at most, and 64 bits of unrelated sets in 32 on average.
 WIDE = 96
+#: Prefix rows meet in so many passes, each with its share of the words, so that no more than that lies on disk.
+PASSES = 2
 #: Bits of the word hash in a key, below five bits of frequency class; sets that share a key by chance only cost a test.
 KEY_BITS = 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -149,14 +153,14 @@ def _led(sets: DataFrame) -> DataFrame:
     return pairs.join(led, "a").where(may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"))).select("a", "b")
 
 
-def _prefix_rows(sets: DataFrame, shorter: bool) -> DataFrame:
-    """A row for each prefix word of each set, with size, position and `settled` in one number.
+def _prefix_rows(sets: DataFrame, shorter: bool, turn: int) -> DataFrame:
+    """A row for each prefix word of this pass in each set, with size, position and `settled` in one number.
 
     Similar sets meet `at` a word, with the band -1 for words that are not frequent.
     """
     n = F.col("size")
     head = F.slice("head", F.lit(1), _shorter_prefix(n) if shorter else _longer_prefix(n))
-    rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", "settled", F.posexplode(head).alias("pos", "word"))
+    rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", "settled", F.posexplode(head).alias("pos", "word")).where(F.pmod("word", F.lit(PASSES)) == turn)
     shape = F.shiftleft(n.cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("bigint"), 1)).bitwiseOR(F.col("settled").cast("bigint"))
     frequent = F.col("word") >= FREQUENT << KEY_BITS
     if shorter:
@@ -168,7 +172,10 @@ def _prefix_rows(sets: DataFrame, shorter: bool) -> DataFrame:
 
 
 def _met(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: sets that share a prefix word and pass the filters, where b is not `settled`; no two settled ones meet."""
+    """(a, b), a < b: sets that share a prefix word and pass the filters, where b is not `settled`; no two settled ones meet.
+
+    Each pass is stored by itself: the shuffled rows of the one before are gone by then.
+    """
 
     def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
         x, y = (df.select("at", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "bits", "shape")]) for p, df in (("x", smaller), ("y", larger)))
@@ -184,9 +191,12 @@ def _met(sets: DataFrame) -> DataFrame:
 
     open_, settled = sets.where("NOT settled"), sets.where("settled")
     both = F.least("x_num", "y_num").alias("a"), F.greatest("x_num", "y_num").alias("b")
-    pairs = meet(_prefix_rows(sets, True), _prefix_rows(open_, False)).select(*both)
-    rest = meet(_prefix_rows(open_, True), bounded(_prefix_rows(settled, False))).select(*both)
-    pairs = pairs.unionByName(rest).distinct()
+    parts = []
+    for turn in range(PASSES):
+        pairs = meet(_prefix_rows(sets, True, turn), _prefix_rows(open_, False, turn)).select(*both)
+        rest = meet(_prefix_rows(open_, True, turn), bounded(_prefix_rows(settled, False, turn))).select(*both)
+        parts.append(stored(pairs.unionByName(rest), "met"))
+    pairs = reduce(DataFrame.unionByName, parts).distinct()
     # of long sets 256 bits more
     for p in "ab":
         wide = sets.select(F.col("num").alias(p), F.col("size").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
