@@ -35,7 +35,7 @@ FREQUENT = 7
 #: Below it similar sets differ in 21 words at most, and 64 bits of unrelated sets in 32 on average.
 WIDE = 96
 #: Prefix rows meet in so many passes, each with its share of the words, so that no more than that lies on disk.
-PASSES = 2
+PASSES = 4
 #: Bits of the word hash in a key, below five bits of frequency class; sets that share a key by chance only cost a test.
 KEY_BITS = 26
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -144,13 +144,15 @@ def _meeting(word: str, band: Column) -> Column:
 
 
 def _led(sets: DataFrame) -> DataFrame:
-    """(a, b): each set b with the earliest set of one of its rarest words and its band, where bits allow a match."""
+    """(a, b): each set b with the closest, by the bits, of the earliest sets of its rarest words and its band, where bits allow a match."""
     rows = sets.where(F.col("size") * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", F.explode(F.slice("head", 1, LEADS)).alias("word"))
     rows = rows.select(_meeting("word", _band(F.col("size"))).alias("at"), "num", "size", "bits")
     leads = rows.groupBy("at").agg(F.min("num").alias("a"), F.max("num").alias("last")).where("a < last").select("at", "a")
     pairs = rows.join(leads, "at").where("a < num").select("a", F.col("num").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb")).distinct()
     led = sets.select(F.col("num").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
-    return pairs.join(led, "a").where(may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb"))).select("a", "b")
+    near = pairs.join(led, "a").where(may_match(F.col("na"), F.col("nb"), F.col("ba"), F.col("bb")))
+    apart = F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))).cast("bigint") + F.abs(F.col("na") - F.col("nb"))
+    return near.groupBy("b").agg(F.min(F.struct(apart.alias("apart"), "a"))["a"].alias("a")).select("a", "b")
 
 
 def _prefix_rows(sets: DataFrame, shorter: bool, turn: int) -> DataFrame:
@@ -160,7 +162,7 @@ def _prefix_rows(sets: DataFrame, shorter: bool, turn: int) -> DataFrame:
     """
     n = F.col("size")
     head = F.slice("head", F.lit(1), _shorter_prefix(n) if shorter else _longer_prefix(n))
-    rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", "settled", F.posexplode(head).alias("pos", "word")).where(F.pmod("word", F.lit(PASSES)) == turn)
+    rows = sets.where(n * (100 - PERCENT) >= PERCENT).select("num", "size", "bits", "wide", "settled", F.posexplode(head).alias("pos", "word")).where(F.pmod("word", F.lit(PASSES)) == turn)
     shape = F.shiftleft(n.cast("bigint"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("bigint"), 1)).bitwiseOR(F.col("settled").cast("bigint"))
     frequent = F.col("word") >= FREQUENT << KEY_BITS
     if shorter:
@@ -168,7 +170,7 @@ def _prefix_rows(sets: DataFrame, shorter: bool, turn: int) -> DataFrame:
         rows = rows.withColumn("band", F.explode(F.when(frequent, F.array(_band(n), _band(n) + 1)).otherwise(F.array(F.lit(-1)))))
     else:
         rows = rows.withColumn("band", F.when(frequent, _band(n)).otherwise(-1))
-    return rows.select(_meeting("word", F.col("band")).alias("at"), "num", "bits", shape.alias("shape"))
+    return rows.select(_meeting("word", F.col("band")).alias("at"), "num", "bits", "wide", shape.alias("shape"))
 
 
 def _met(sets: DataFrame) -> DataFrame:
@@ -178,7 +180,7 @@ def _met(sets: DataFrame) -> DataFrame:
     """
 
     def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
-        x, y = (df.select("at", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "bits", "shape")]) for p, df in (("x", smaller), ("y", larger)))
+        x, y = (df.select("at", *[F.col(c).alias(f"{p}_{c}") for c in ("num", "bits", "wide", "shape")]) for p, df in (("x", smaller), ("y", larger)))
         n, m = (F.shiftright(f"{p}_shape", 32) for p in "xy")
         x_pos, y_pos = (F.shiftright(f"{p}_shape", 1).bitwiseAND(F.lit((1 << 31) - 1)) for p in "xy")
         x_settled, y_settled = (F.col(f"{p}_shape").bitwiseAND(F.lit(1)) == 1 for p in "xy")
@@ -186,8 +188,11 @@ def _met(sets: DataFrame) -> DataFrame:
         # what the two can share: what stands before the common word, the word, and what stands after it
         best = F.least(x_pos, y_pos) + F.least(n - x_pos, m - y_pos)
         close = (100 * n >= PERCENT * m) & similar(best, n, m) & may_match(n, m, F.col("x_bits"), F.col("y_bits"))
+        # of two long sets 256 bits more
+        differing = reduce(Column.__add__, [F.bit_count(F.get("x_wide", F.lit(j)).bitwiseXOR(F.get("y_wide", F.lit(j)))) for j in range(4)])
+        closer = differing.isNull() | similar(F.shiftright(n.cast("int") + m.cast("int") - differing, 1), n, m)
         later = ~F.when(F.col("x_num") < F.col("y_num"), y_settled).otherwise(x_settled)
-        return x.join(y, "at").where(order & later & close)
+        return x.join(y, "at").where(order & later & close & closer)
 
     open_, settled = sets.where("NOT settled"), sets.where("settled")
     both = F.least("x_num", "y_num").alias("a"), F.greatest("x_num", "y_num").alias("b")
@@ -196,14 +201,7 @@ def _met(sets: DataFrame) -> DataFrame:
         pairs = meet(_prefix_rows(sets, True, turn), _prefix_rows(open_, False, turn)).select(*both)
         rest = meet(_prefix_rows(open_, True, turn), bounded(_prefix_rows(settled, False, turn))).select(*both)
         parts.append(stored(pairs.unionByName(rest), "met"))
-    pairs = reduce(DataFrame.unionByName, parts).distinct()
-    # of long sets 256 bits more
-    for p in "ab":
-        wide = sets.select(F.col("num").alias(p), F.col("size").alias(f"n{p}"), F.col("wide").alias(f"w{p}"))
-        pairs = pairs.join(wide, p)
-    differing = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, d: t + d)
-    best = F.floor((F.col("na") + F.col("nb") - F.coalesce(differing, F.lit(0))) / 2)
-    return pairs.where(similar(best, F.col("na"), F.col("nb"))).select("a", "b")
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
