@@ -2,11 +2,11 @@
 
 Of the 50-byte strings of all documents only those can be repeated whose key is: the least hash of
 the 32-byte grams in them.  Neighbouring strings with one key are kept together as a stretch of text.
-A bit table of fixed size, filled from all documents, tells which keys more than one document may
-have; stretches with such keys go to shards by key, equal stretches of a task once.  Documents whose whole text is that of an earlier one are found first and stay
+Batches of documents send their keys by range, and are told which of them more than one document
+may have; stretches with such keys go to shards by key, equal stretches of a batch once.  Documents whose whole text is that of an earlier one are found first and stay
 out of this.  A shard takes equal stretches as one, sorts the suffixes of those whose key others
 have as well by induction, and finds, for each string, the least document that has it.
-The answers go back to the task's own list of places, so that no shard holds the places of a passage
+The answers go back to the batch's own list of places, so that no shard holds the places of a passage
 that very many documents share.
 
 Suffix sorting is SA-IS with bucket queues, which give out suffixes in their order as a priority
@@ -19,23 +19,23 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.llm import wordhash as W
-from chronoframe.llm.common import bounded, discard, match_rows, stored
+from chronoframe.llm.common import bounded, match_rows, stored
 
 LENGTH, GRAM = 50, 32
-#: Bits of the table of keys, and how many are sent at once; a fuller table only lets more through.
-TABLE_BITS, RANGE_BITS = 29, 20
-#: Bytes of all texts for each shard, and bytes of text whose stretches a task sends together.
-SHARD, FLUSH = 4 << 20, 6 << 20
+#: Bytes of all texts for each shard and for each range of keys, and bytes of text whose keys and stretches are sent together.
+SHARD, RANGE, FLUSH = 4 << 20, 8 << 20, 3 << 20
+BLOBS = "kind int, batch bigint, shard int, blob binary"
 #: Bytes that the queues of one sort keep in memory.
 QUEUED = 256 << 20
 
@@ -257,113 +257,187 @@ def least_owners(pieces: np.ndarray, lengths: np.ndarray, owners: np.ndarray) ->
     return p[first].astype(np.int64), order[first] - starts[p[first]], order[last] + 1 - starts[p[first]], a[first]
 
 
-def _cells(key: np.ndarray) -> np.ndarray:
+def _few(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of rows of few bytes, since hashes of all bytes of a run are held at once."""
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + W.CHUNK, "right")) - 1)
+        yield first, last
+        first = last
+
+
+def _marks(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end, key) of the stretches of a batch, their keys mixed, the order of these, and where a new one begins in it."""
+    parts = [stretches(data[:0], offsets[:1])]
+    for first, last in _few(offsets):
+        at = offsets[first]
+        row, begin, end, key = stretches(data[at : offsets[last]], offsets[first : last + 1] - at)
+        parts.append((row + first, begin + at, end + at, key))
+    found = tuple(np.concatenate(x) for x in zip(*parts, strict=True))
     # a key is the least of many hashes, so its high bits are nearly always 0 until it is mixed anew
-    return (W.mix(key) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    mixed = W.mix(found[3])
+    order = np.argsort(mixed, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = mixed[order][1:] != mixed[order][:-1]
+    return found, mixed, order, new
 
 
-def _key_table(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """A bit for each cell that keys of more than one document may fall into; and the bytes of all texts."""
+def _ranges(mixed: np.ndarray, ranges: int) -> np.ndarray:
+    return (((mixed >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
-    def run(batches):
-        names = ["range", "once", "twice", "bytes"]
-        for batch in batches:
-            once: list[np.ndarray] = []
-            size = 0
-            for first, data, offsets in W.chunks(batch.column("_text")):
-                row, _, _, key = stretches(data, offsets)
-                size += len(data)
-                cell = np.unique((_cells(key) << 24) | (row + first))  # one for each document; a batch has fewer than 2**24 rows
-                once.append(cell >> 24)
-            cells, count = np.unique(np.concatenate(once), return_counts=True) if once else (np.zeros(0, np.int64),) * 2
-            part = cells >> RANGE_BITS
-            cuts = np.flatnonzero(part[1:] != part[:-1]) + 1
-            low = (cells & ((1 << RANGE_BITS) - 1)).astype("<u4")
-            rows = [(int(p[0]), np.diff(x, prepend=np.uint32(0)).astype("<u4"), x[c > 1]) for p, x, c in zip(np.split(part, cuts), np.split(low, cuts), np.split(count, cuts), strict=True) if len(p)]
-            sizes = [size] + [0] * len(rows)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *(r[0] for r in rows)], pa.int32()), pa.array([None, *(_pack(r[1]) for r in rows)], pa.binary()), pa.array([None, *(_pack(r[2]) for r in rows)], pa.binary()), pa.array(sizes, pa.int64())], names=names)
-
-    def merge(batches):
-        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            for r, once, twice in zip(*(batch.column(c).to_pylist() for c in ("range", "once", "twice")), strict=True):
-                if r not in seen:
-                    seen[r] = np.zeros(1 << RANGE_BITS, bool), np.zeros(1 << RANGE_BITS, bool)
-                one, two = seen[r]
-                x = np.cumsum(_unpack(once)[0], dtype=np.int64)
-                two[x[one[x]]] = True
-                two[_unpack(twice)[0].astype(np.int64)] = True
-                one[x] = True
-        for r, (_, two) in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())], names=["range", "bits"])
-
-    sent = stored(texts.select("_text").mapInArrow(run, "range int, once binary, twice binary, bytes bigint"), "keys")
-    total = sent.agg(F.sum("bytes")).first()[0] or 0
-    ranges = 1 << (TABLE_BITS - RANGE_BITS)
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
-    step = 1 << (RANGE_BITS - 3)
-    for row in sent.where("range >= 0").select("range", "once", "twice").repartition(ranges // 4, "range").mapInArrow(merge, "range int, bits binary").toLocalIterator():
-        table[row["range"] * step : (row["range"] + 1) * step] = np.frombuffer(row["bits"], np.uint8)
-    discard(sent)
-    return table, total
-
-
-def _candidates(texts: DataFrame, table: np.ndarray, shards: int) -> DataFrame:
-    """Rows of two kinds: stretches for a shard (kind 0) and a task's own places (kind 1), both by `batch`, a number of its own.
 
-    Places go through the same shuffle, to any shard, so that nothing is computed or written twice.
+def _sent_keys(texts: DataFrame, ranges: int) -> DataFrame:
+    """For each batch of texts its distinct keys by range (kind 0), and the batch itself (kind 1).
+
+    The batch goes the way of its keys, so that the answers meet the very batch that asked, whatever a second run of the input would give.
     """
-    usual = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(batches):
-        bits, task, count = usual.value, TaskContext.get().partitionId(), 0
+        task, count, size = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
-        size = 0
 
         def flush():
             nonlocal held, size, count
-            doc, text, start, length, key, mark, data = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids, sizes, data = (np.concatenate(x) for x in zip(*held, strict=True))
             held, size = [], 0
             number = (task << 24) | count
             count += 1
-            shard = (key % np.uint64(shards)).astype(np.int64)
-            begin = np.cumsum(length) - length
-            order = np.lexsort((doc, mark, shard))
-            new = np.ones(len(order), bool)
-            new[1:] = mark[order][1:] != mark[order][:-1]
-            group = np.cumsum(new) - 1  # equal stretches, in the order of shards
-            first = order[new]
-            own = np.flatnonzero(new)
-            least, most = doc[first], doc[order[np.append(own[1:], len(order)) - 1]]
-            rows = [(1, number, number % shards, _pack(group.astype("<i4"), doc[order], text[order], start[order]))]
-            at = shard[first]
-            cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                f = first[a:b]
-                where = np.repeat(begin[f] - (np.cumsum(length[f]) - length[f]), length[f]) + np.arange(length[f].sum())
-                rows.append((0, number, int(at[a]), _pack(np.array([a]), length[f].astype("<i4"), least[a:b], most[a:b], data[where], key[f])))
-            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "batch", "shard", "blob"])
+            (row, *_), mixed, order, new = _marks(data, np.concatenate([[0], np.cumsum(sizes)]))
+            rows = [(1, number, _dealt(number, ranges), _pack(ids, sizes, data))]
+            if len(order):
+                first = np.flatnonzero(new)
+                # the order is stable, so a key has several rows where its first and last differ
+                several = row[order[first]] != row[order[np.append(first[1:], len(order)) - 1]]
+                keys = mixed[order[first]]
+                at = _ranges(keys, ranges)
+                cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+                low = (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+                rows += [(0, number, int(at[a]), _pack(low[a:b], several[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            return _blobs(rows)
 
         for batch in batches:
-            ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "_key"))
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for first, data, offsets in W.chunks(batch.column("_text")):
-                row, begin, end, key = stretches(data, offsets)
-                cell = _cells(key)
-                take = np.flatnonzero(bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+                last = first + len(offsets) - 1
+                held.append((ids[first:last], np.diff(offsets), data))
                 size += len(data)
-                if len(take):
-                    row, begin, end, key = row[take], begin[take], end[take], key[take]
-                    length = end - begin
-                    mark = W.word_hashes(data, begin, end, W.SAME) ^ W.mix(length.astype(np.uint64))
-                    where = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                    held.append((ids[row + first].astype(np.int64), texts[row + first].astype(np.int64), begin - offsets[row], length, key, mark, data[where]))
-                if size >= FLUSH and held:
+                if size >= FLUSH:
                     yield flush()
         if held:
             yield flush()
 
-    return texts.mapInArrow(run, "kind int, batch bigint, shard int, blob binary")
+    return texts.mapInArrow(run, BLOBS)
+
+
+def _each(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple]:
+    """The rows of a batch one by one, since blobs are large."""
+    return (tuple(x.as_py() for x in row) for row in zip(*(batch.column(c) for c in names), strict=True))
+
+
+def _dealt(number: int, parts: int) -> int:
+    """Some part for a batch: few are alike, also where `parts` is a power of two, which leaves the task out of a remainder."""
+    return ((number >> 24) * 3 + (number & 0xFFFFFF)) % parts
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["kind", "batch", "shard", "blob"])
+
+
+def _shared_keys(sent: DataFrame, ranges: int) -> DataFrame:
+    """For each batch and range a bit for each key: whether more than one document may have it (kind 0); and the batches (kind 1).
+
+    Keys of a range are told apart by 32 bits: a clash only lets more through.
+    """
+
+    def one(shard, rows):
+        found = [_unpack(blob) for _, blob in rows]
+        low, shared = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        order = np.argsort(low)
+        low = low[order]
+        same = low[1:] == low[:-1]
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        cuts = np.cumsum([len(f[0]) for f in found])[:-1]
+        return [(0, number, shard, np.packbits(bits).tobytes()) for (number, _), bits in zip(rows, np.split(shared, cuts), strict=True) if bits.any()]
+
+    def run(batches):
+        shard, rows = None, []
+        for batch in batches:
+            whole = batch.filter(pa.compute.equal(batch.column("kind"), 1))
+            if whole.num_rows:
+                yield whole
+            for kind, s, number, blob in _each(batch, ("kind", "shard", "batch", "blob")):
+                if kind == 1:
+                    continue
+                if s != shard and rows:
+                    if out := one(shard, rows):
+                        yield _blobs(out)
+                    rows = []
+                shard = s
+                rows.append((number, blob))
+        if rows and (out := one(shard, rows)):
+            yield _blobs(out)
+
+    return sent.repartition(ranges, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(run, BLOBS)
+
+
+def _candidates(shared: DataFrame, ranges: int, shards: int, tasks: int) -> DataFrame:
+    """Rows of two kinds: stretches for a shard (kind 0) and a batch's own places (kind 1), both by `batch`.
+
+    Places go through the same shuffle, to any shard, so that nothing is computed or written twice.
+    """
+
+    def one(number, answers, blob):
+        ids, sizes, data = _unpack(blob)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        (row, begin, end, key), mixed, order, new = _marks(data, offsets)
+        at = _ranges(mixed[order[new]], ranges)
+        many = np.zeros(len(at), bool)
+        for r, bits in answers:
+            a, b = np.searchsorted(at, [r, r + 1])
+            many[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        take = order[many[np.cumsum(new) - 1]]
+        take.sort()
+        row, begin, end, key = row[take], begin[take], end[take], key[take]
+        length = end - begin
+        mark = W.mix(length.astype(np.uint64))
+        for few in _few(offsets):
+            i, j = np.searchsorted(row, few)
+            first, last = offsets[list(few)]
+            mark[i:j] ^= W.word_hashes(data[first:last], begin[i:j] - first, end[i:j] - first, W.SAME)
+        doc = ids[row]
+        shard = (key % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((doc, mark, shard))
+        new = np.ones(len(order), bool)
+        new[1:] = mark[order][1:] != mark[order][:-1]
+        group = np.cumsum(new) - 1  # equal stretches, in the order of shards
+        first = order[new]
+        own = np.flatnonzero(new)
+        least, most = doc[first], doc[order[np.append(own[1:], len(order)) - 1]]
+        back = np.argsort(order)  # places in the order of the text, which packs well
+        named, row = np.unique(row, return_inverse=True)
+        rows = [(1, number, _dealt(number, shards), _pack(group[back].astype("<i4"), np.diff(row, prepend=0).astype("<i4"), begin.astype("<i4"), ids[named]))]
+        at = shard[first]
+        cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            f = first[a:b]
+            where = np.repeat(begin[f] - (np.cumsum(length[f]) - length[f]), length[f]) + np.arange(length[f].sum())
+            rows.append((0, number, int(at[a]), _pack(np.array([a]), length[f].astype("<i4"), least[a:b], most[a:b], data[where], key[f])))
+        return _blobs(rows)
+
+    def run(batches):
+        number, answers = None, []
+        for batch in batches:
+            for kind, n, r, blob in _each(batch, ("kind", "batch", "shard", "blob")):
+                if n != number:
+                    number, answers = n, []
+                if kind == 0:
+                    answers.append((r, blob))
+                elif answers:
+                    yield one(n, answers, blob)
+
+    return shared.repartition(tasks, "batch").sortWithinPartitions("batch", "kind").mapInArrow(run, BLOBS)
 
 
 def _answers(sent: DataFrame, shards: int) -> DataFrame:
@@ -413,7 +487,7 @@ def _answers(sent: DataFrame, shards: int) -> DataFrame:
             places = batch.filter(pa.compute.equal(batch.column("kind"), 1))
             if places.num_rows:
                 yield places.select(["kind", "batch", "blob"])
-            for kind, s, number, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "shard", "batch", "blob")), strict=True):
+            for kind, s, number, blob in _each(batch, ("kind", "shard", "batch", "blob")):
                 if kind == 1:
                     continue
                 if s != shard and rows:
@@ -427,11 +501,12 @@ def _answers(sent: DataFrame, shards: int) -> DataFrame:
     return sent.repartition(shards, "shard").sortWithinPartitions("shard", "kind", "batch").mapInArrow(run, "kind int, batch bigint, blob binary")
 
 
-def _covered(both: DataFrame) -> DataFrame:
-    """(doc_id, key, blob of begins and ends): the bytes that strings of earlier documents cover."""
+def _covered(both: DataFrame, tasks: int) -> DataFrame:
+    """(kind 0, batch, shard 0, blob of rows of the batch, begins and ends): the bytes that strings of earlier documents cover."""
 
-    def one(answers, places):
-        group, doc, text, start = _unpack(places)
+    def one(number, answers, places):
+        group, row, start, doc = _unpack(places)
+        place_row, start = np.cumsum(row, dtype=np.int64), start.astype(np.int64)
         found = [_unpack(x) for x in answers]
         piece, begin, end, owner = (np.concatenate([f[i] for f in found]) for i in range(4))
         order = np.argsort(piece, kind="stable")
@@ -440,42 +515,65 @@ def _covered(both: DataFrame) -> DataFrame:
         n = high - low
         which = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
         place = np.repeat(np.arange(len(group)), n)
-        hit = owner[which] < doc[place]
+        hit = owner[which] < doc[place_row[place]]
         which, place = which[hit], place[hit]
-        d, t, a, b = doc[place], text[place], start[place] + begin[which], start[place] + end[which] - 1 + LENGTH
-        order = np.lexsort((a, t, d))
-        d, t, a, b = d[order], t[order], a[order], b[order]
-        cuts = np.concatenate([[0], np.flatnonzero((d[1:] != d[:-1]) | (t[1:] != t[:-1])) + 1, [len(d)]]) if len(d) else np.zeros(1, np.int64)
-        blobs = [_pack(a[i:j], b[i:j]) for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(d[cuts[:-1]]), pa.array(t[cuts[:-1]]), pa.array(blobs, pa.binary())], names=["doc_id", "key", "spans"])
+        begin, end = start[place] + begin[which], start[place] + end[which] - 1 + LENGTH
+        return _blobs([(0, number, 0, _pack(begin.astype("<i4"), end.astype("<i4")))])
 
     def run(batches):
         number, found = None, []
         for batch in batches:
-            for kind, n, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "batch", "blob")), strict=True):
+            for kind, n, blob in _each(batch, ("kind", "batch", "blob")):
                 if n != number:
                     number, found = n, []
                 if kind == 0:
                     found.append(blob)
                 elif found:
-                    yield one(found, blob)
+                    yield one(n, found, blob)
 
-    return both.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(run, "doc_id bigint, key bigint, spans binary")
+    return both.repartition(tasks, "batch").sortWithinPartitions("batch", "kind").mapInArrow(run, BLOBS)
 
 
-def kept_parts(size: int, blobs: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the maximal removed runs."""
-    if not blobs or (b"" in blobs and size < LENGTH):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if b"" in blobs:  # an earlier document has the whole text
-        return np.zeros(1, np.int64), np.full(1, size)
-    found = [_unpack(x) for x in blobs]
-    depth = np.zeros(size + 1, np.int32)
-    np.add.at(depth, np.concatenate([f[0] for f in found]), 1)
-    np.add.at(depth, np.concatenate([f[1] for f in found]), -1)
-    gone = np.concatenate([[False], np.cumsum(depth)[:-1] > 0, [False]])
-    edges = np.flatnonzero(gone[1:] != gone[:-1])
-    return edges[::2], edges[1::2]
+def _cut(both: DataFrame, tasks: int, with_bytes: bool) -> DataFrame:
+    """The rows of each batch (kind 1) without the bytes that its spans (kind 0) cover."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
+
+    def one(spans, blob):
+        ids, sizes, data = _unpack(blob)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        depth = np.zeros(len(data) + 1, np.int32)
+        for begin, end in map(_unpack, spans):
+            np.add.at(depth, begin, 1)
+            np.add.at(depth, end, -1)
+        gone = np.concatenate([[False], np.cumsum(depth, dtype=np.int32)[:-1] > 0, [False]])
+        # a run ends with its row
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        begin = np.flatnonzero(gone[1:] & (~gone[:-1] | edge))
+        end = np.flatnonzero(gone[:-1] & (~gone[1:] | edge))
+        low, high = np.searchsorted(begin, offsets[:-1]), np.searchsorted(begin, offsets[1:])
+        text, out = data.tobytes(), []
+        for doc, first, last, i, j in zip(ids.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), low.tolist(), high.tolist(), strict=True):
+            edges = [first, *np.column_stack([begin[i:j], end[i:j]]).ravel().tolist(), last]
+            kept = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+            out.append((doc, last - first, last - first - len(kept), j - i, kept if with_bytes else None, hashlib.sha256(kept).hexdigest()))
+        found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        return found if with_bytes else found.drop_columns(["kept"])
+
+    def run(batches):
+        number, spans = None, []
+        for batch in batches:
+            for kind, n, blob in _each(batch, ("kind", "batch", "blob")):
+                if n != number:
+                    number, spans = n, []
+                if kind == 0:
+                    spans.append(blob)
+                else:
+                    yield one(spans, blob)
+
+    kept = "kept binary, " if with_bytes else ""
+    return both.repartition(tasks, "batch").sortWithinPartitions("batch", "kind").mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {kept}kept_sha256 string")
 
 
 def equal_texts(texts: DataFrame) -> DataFrame:
@@ -485,11 +583,16 @@ def equal_texts(texts: DataFrame) -> DataFrame:
     return rows.join(bounded(first), "_sha").where("doc_id > _first").select("doc_id", "key").distinct()
 
 
-def covered_spans(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, spans) for rows (doc_id, _key, _text) without equal texts under different ids."""
-    table, total = _key_table(texts)
-    shards = max(8, -(-total // SHARD))
-    return _covered(_answers(_candidates(texts, table, shards), shards))
+def _without_repeats(texts: DataFrame, with_bytes: bool) -> DataFrame:
+    """The answer for rows (doc_id, _text) without equal texts under different ids.
+
+    The batches are stored with what is told of their keys, and cut at the end: the input is read once for them, and its texts are joined with nothing.
+    """
+    total = texts.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    shards, ranges, tasks = (max(8, -(-total // x)) for x in (SHARD, RANGE, 3 * FLUSH))
+    shared = stored(_shared_keys(_sent_keys(texts, ranges), ranges), "batches")
+    spans = stored(_covered(_answers(_candidates(shared, ranges, shards, tasks), shards), tasks), "spans")
+    return _cut(shared.where("kind = 1").unionByName(spans), tasks, with_bytes)
 
 
 def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
@@ -501,27 +604,19 @@ def remove_repeats(docs: DataFrame, with_bytes: bool = True) -> DataFrame:
     are left out, and an empty table gives no rows.  Without `with_bytes` the column `kept` is left out.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("_text"))
-    texts = texts.withColumn("_key", F.xxhash64(F.coalesce("_text", F.lit(""))))
-    named = texts.where("doc_id IS NOT NULL")
+    named = texts.withColumn("_key", F.xxhash64(F.coalesce("_text", F.lit("")))).where("doc_id IS NOT NULL")
     copies = stored(equal_texts(named), "copies")
-    own = match_rows(named, copies, "left_anti", text_column="_text")
-    spans = covered_spans(own).unionByName(copies.select("doc_id", "key", F.lit(b"").alias("spans")))
-    spans = stored(spans.groupBy("doc_id", "key").agg(F.collect_list("spans").alias("_spans")), "spans")
-    rows = match_rows(texts, spans, "left", text_column="_text").select("doc_id", F.encode(F.coalesce("_text", F.lit("")), "UTF-8").alias("_data"), "_spans")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc, data, blobs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_data", "_spans")), strict=True):
-                begin, end = kept_parts(len(data), blobs)
-                edges = [0, *np.column_stack([begin, end]).ravel().tolist(), len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
-                out.append((doc, len(data), len(data) - len(kept), len(begin), kept if with_bytes else None, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            found = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
-            yield found if with_bytes else found.select([n for n in names if n != "kept"])
-
-    kept = "kept binary, " if with_bytes else ""
-    return rows.mapInArrow(run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {kept}kept_sha256 string")
+    own = match_rows(named, copies, "left_anti", text_column="_text").select("doc_id", "_text")
+    found = _without_repeats(own, with_bytes)
+
+    def whole(rows: DataFrame, gone: Column) -> DataFrame:
+        """Rows that lose all bytes or none."""
+        size = F.octet_length("_data").cast("bigint")
+        kept = F.when(gone, F.lit(b"")).otherwise(F.col("_data"))
+        rows = rows.select("doc_id", size.alias("n_bytes"), F.when(gone, size).otherwise(0).alias("n_removed"), gone.cast("bigint").alias("n_spans"), kept.alias("kept"), F.sha2(kept, 256).alias("kept_sha256"))
+        return rows.select(*found.columns)
+
+    rows = texts.withColumn("_data", F.encode(F.coalesce("_text", F.lit("")), "UTF-8"))
+    # an earlier document has the whole text of a copy
+    again = match_rows(rows, copies, "left_semi", text_column="_text")
+    return found.unionByName(whole(again, F.octet_length("_data") >= LENGTH)).unionByName(whole(rows.where("doc_id IS NULL"), F.lit(False)))
