@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoframe.functions.interval import CLOSED, HALF_OPEN, as_bounds, column, fresh, half_open, valid
-from chronoframe.operators.join import keyed_overlap_join, overlap_join
+from chronoframe.operators.join import by_interval, keyed_overlap_join, overlap_join
 from chronoframe.operators.ordered import depth_steps, key_names
 
 #: The ends of gaps that are open; no interval goes beyond.
@@ -68,4 +68,10 @@ def temporal_difference(r: DataFrame, s: DataFrame, data: str = "data") -> DataF
 
 def temporal_intersection(r: DataFrame, s: DataFrame, data: str = "data", bounds: str = HALF_OPEN) -> DataFrame:
     """One row for each pair of rows with equal data that overlap: the common part."""
-    return keyed_overlap_join(r, s, [data], bounds).select("ts", "te", column(f"r_{data}").alias(data))
+    return overlap_join(r, s, bounds, keys=[data]).select("ts", "te", column(f"r_{data}").alias(data))
+
+
+def intersection_counts(r: DataFrame, s: DataFrame, data: str = "data", bounds: str = HALF_OPEN) -> DataFrame:
+    """`temporal_intersection` with equal rows as one, and their number `n`: rows of one interval and data meet once, not each."""
+    pairs = overlap_join(by_interval(r, [data]), by_interval(s, [data]), bounds, keys=[data])
+    return pairs.groupBy("ts", "te", column(f"r_{data}").alias(data)).agg(F.sum(F.col("r_rows") * F.col("s_rows")).alias("n"))

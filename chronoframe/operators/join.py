@@ -9,6 +9,9 @@ coarser levels that the other side uses, so a long row never explodes into many
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +54,10 @@ def _last(te: str, bounds: str) -> Column:
     return F.col(te) if bounds == CLOSED else F.col(te) - 1
 
 
-def overlap_join(r: DataFrame, s: DataFrame, bounds: str = HALF_OPEN, width: int | None = None, levels: bool | None = None) -> DataFrame:
-    """All pairs of overlapping rows, with their intersection.
+def overlap_join(r: DataFrame, s: DataFrame, bounds: str = HALF_OPEN, width: int | None = None, levels: bool | None = None, keys: list[str] | None = None) -> DataFrame:
+    """All pairs of overlapping rows (with equal keys, where keys are given; null keys match nothing), with their intersection.
+
+    Keys are matched together with the bucket, so a key that very many rows share is no group of its own.
 
     `width` and `levels` are found by one aggregation over both sides when they are not given.
     Empty inputs give an empty result; repeated rows give as many pairs as they have copies.
@@ -61,12 +66,14 @@ def overlap_join(r: DataFrame, s: DataFrame, bounds: str = HALF_OPEN, width: int
     if width is None:
         chosen = choose_width(valid(r, bounds), valid(s, bounds))
         width, levels = chosen.width, chosen.levels if levels is None else levels
+    met = reduce(and_, [column(f"r_{k}") == column(f"s_{k}") for k in keys or []], F.lit(True))
     if levels:
-        return _finish(_level_join(a, b, bounds), r, s)
-    buckets = lambda p: F.explode(F.sequence(floor_div(F.col(f"{p}_ts"), width), floor_div(_last(f"{p}_te", bounds), width))).alias("_b")
-    pairs = a.select("*", buckets("r")).join(b.select("*", buckets("s")), "_b")
+        return _finish(_level_join(a, b, bounds, met), r, s)
+    buckets = lambda p: F.explode(F.sequence(floor_div(F.col(f"{p}_ts"), width), floor_div(_last(f"{p}_te", bounds), width)))
+    x, y = a.select("*", buckets("r").alias("_rb")), b.select("*", buckets("s").alias("_sb"))
+    pairs = x.join(y, (F.col("_rb") == F.col("_sb")) & met)
     first = floor_div(F.greatest("r_ts", "s_ts"), width)
-    return _finish(pairs.where(_condition(bounds) & (first == F.col("_b"))), r, s)
+    return _finish(pairs.where(_condition(bounds) & (first == F.col("_rb"))), r, s)
 
 
 def _level(p: str) -> Column:
@@ -75,7 +82,7 @@ def _level(p: str) -> Column:
     return (bits + bits % 2).cast("int")
 
 
-def _level_join(a: DataFrame, b: DataFrame, bounds: str) -> DataFrame:
+def _level_join(a: DataFrame, b: DataFrame, bounds: str, met: Column) -> DataFrame:
     a, b = a.withColumn("_own", _level("r")), b.withColumn("_own", _level("s"))
     used = sorted({x["_own"] for x in a.select("_own").distinct().union(b.select("_own").distinct()).collect()})  # at most 33 numbers
     shown = F.array(*[F.lit(x) for x in used]) if used else F.array().cast("array<int>")
@@ -90,7 +97,7 @@ def _level_join(a: DataFrame, b: DataFrame, bounds: str) -> DataFrame:
 
     pairs = dealt(a, "r", [0, 1], 2).join(dealt(b, "s", [0, 2], 1), ["_l", "_tag", "_b"])
     first = F.call_function("shiftright", F.greatest("r_ts", "s_ts"), F.col("_l"))
-    return pairs.where(_condition(bounds) & (first == F.col("_b")))
+    return pairs.where(met & _condition(bounds) & (first == F.col("_b")))
 
 
 def granule_join(r: DataFrame, s: DataFrame, k: int, bounds: str = HALF_OPEN) -> DataFrame:
@@ -110,6 +117,11 @@ def granule_join(r: DataFrame, s: DataFrame, k: int, bounds: str = HALF_OPEN) ->
     return _finish(a.join(cells, ["ri", "rj"]).join(b, ["si", "sj"]).where(_condition(bounds)), r, s)
 
 
+def by_interval(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """The distinct intervals (with distinct values of further columns), and how many rows have each, as `rows`."""
+    return df.groupBy("ts", "te", *[column(c) for c in extra or []]).agg(F.count("*").alias("rows"))
+
+
 def interval_equality_join(r: DataFrame, s: DataFrame) -> DataFrame:
     """Pairs whose intervals are the same."""
     a, b = _sides(r, s, CLOSED)

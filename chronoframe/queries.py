@@ -141,13 +141,13 @@ def temporal_difference(spark, sf):
 @query("temporal_intersection", f"WITH {VIEWS} SELECT greatest(a.ts, b.ts) AS ts, least(a.te, b.te) AS te, a.data AS data, count(*) AS n FROM R a JOIN R b ON a.data = b.data AND a.ts < b.te AND a.te > b.ts GROUP BY 1, 2, 3")
 def temporal_intersection(spark, sf):
     r = orders_iv(spark, sf)
-    return antijoin.temporal_intersection(r, r).groupBy("ts", "te", "data").agg(F.count("*").alias("n"))
+    return antijoin.intersection_counts(r, r)
 
 
 @query("temporal_intersection_closed", f"WITH {VIEWS} SELECT greatest(a.ts, b.ts) AS ts, least(a.te, b.te) AS te, a.data AS data, count(*) AS n FROM R a JOIN R b ON a.data = b.data AND a.ts <= b.te AND a.te >= b.ts GROUP BY 1, 2, 3")
 def temporal_intersection_closed(spark, sf):
     r = orders_iv(spark, sf)
-    return antijoin.temporal_intersection(r, r, bounds=CLOSED).groupBy("ts", "te", "data").agg(F.count("*").alias("n"))
+    return antijoin.intersection_counts(r, r, bounds=CLOSED)
 
 
 @query("temporal_agg_segments_closed", f"WITH {CLOSED_VIEWS}, {_sweep('S1')} SELECT ts, te - 1 AS te, n FROM steps WHERE n > 0 AND te IS NOT NULL")
