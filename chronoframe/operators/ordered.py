@@ -24,6 +24,16 @@ def with_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return at.join(F.broadcast(first), "_part").withColumn("rank", F.col("_first") + F.col("_at")).drop("_part", "_at", "_first")
 
 
+def sum_before(df: DataFrame, order: list[str], value: str, name: str, low: int, high: int, granules: int = 1024) -> DataFrame:
+    """Adds `name`: the sum of `value` over the rows before, in an order that tells all rows apart and begins with a number from `low` to `high`."""
+    rows = df.withColumn("_g", floor_div(F.col(order[0]) - F.lit(low).cast("bigint"), max(1, (high - low) // granules)))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("_g").agg(F.sum(value).alias("_s"))
+    starts = sums.select("_g", F.coalesce(F.sum("_s").over(earlier(Window.orderBy("_g"))), F.lit(0)).alias("_first"))
+    inside = rows.withColumn("_in", F.coalesce(F.sum(value).over(earlier(Window.partitionBy("_g").orderBy(*order))), F.lit(0)))
+    return inside.join(F.broadcast(starts), "_g").withColumn(name, F.col("_first") + F.col("_in")).drop("_g", "_in", "_first")
+
+
 def key_names(keys: list[str]) -> list[str]:
     return [f"_k{i}" for i in range(len(keys))]
 

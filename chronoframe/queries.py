@@ -199,8 +199,7 @@ def dip_num_partitions(spark, sf):
 @query("dip_overlap_violations", f"WITH {VIEWS}, {_sweep('S')} SELECT CAST(0 AS BIGINT) AS violations, count(*) AS n, (SELECT max(n) FROM steps) AS parts FROM S")
 def dip_overlap_violations(spark, sf):
     parts = partition.disjoint_partitions(lineitem_iv(spark, sf))
-    counts = parts.agg(F.count("*").alias("n"), F.count_distinct("part").alias("parts"))
-    return partition.overlap_violations(parts).crossJoin(counts)  # one row each
+    return partition.overlap_violations(parts, F.count("*").alias("n"), F.count_distinct("part").alias("parts"))
 
 
 @query("dip_islands", f"""WITH {VIEWS}, {_sweep("E")}, edge AS (SELECT ts, n, lag(n, 1, 0) OVER (ORDER BY ts) AS b FROM steps),
