@@ -1,8 +1,9 @@
 """Near-duplicate groups: an exact n-gram Jaccard join in size-banded tiles with hashed bitmaps.
 
 Equal shingle sets are put together first.  The shingles of a set are ordered from rare to frequent
-(by a table of hashed counts over the corpus); two sets of similarity 0.8 or more share one of the
-first n - ceil(0.8 n) + 1 of each, so sets that share such a shingle make a tile, ordered by size.
+(by a table of hashed counts over the corpus); two sets of similarity 0.8 or more share two of the
+first n - ceil(0.8 n) + 2 of each, so sets that share such a shingle make a tile, ordered by size; a tile of
+just two sets that no second shingle makes is left out.
 
 A tile is worked off in rounds.  First each set is held against the most similar of a few leaders of
 its tiles, and the links found are joined to components; then so are sets outside the main component
@@ -58,7 +59,8 @@ def _needed_share(n: int, m: int) -> int:
 
 
 def prefix_length(n: int) -> int:
-    return n + (-PERCENT * n // 100) + 1 if n else 0
+    """Shingles of a set of four or more among which two are shared with any similar set."""
+    return min(n, n + (-PERCENT * n // 100) + 2)
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -142,16 +144,18 @@ def _heads(docs: DataFrame, table: np.ndarray) -> DataFrame:
 def _tiles(rows: DataFrame) -> DataFrame:
     """(tile, sids, leads): the sets that share a shingle, in blocks by size, and the leaders of the block.
 
-    Rows come sorted by shingle and size, so that a task holds one block of a group at a time.  The
+    Rows come sorted by shingle and size, so that a task holds one block of a group at a time.  Where the next
+    size is too large for any set before it to link, a group ends: sets of a shingle that many unlike texts share
+    by chance meet only those of like size.  The
     leaders come first in a few fixed orders of all sets, so that tiles with like members have like
     leaders; the next block also has the last leader of this one.  Groups of one block that have the same members are
-    one tile; the blocks of a larger group bear the shingle as their tile number.
+    one tile (a pair of sets comes up to twice from a task); the blocks of a larger group bear the shingle as their tile number.
     """
 
     def run(batches):
-        seen: set[bytes] = set()
+        seen: dict[bytes, int] = {}
         out: list[tuple] = []
-        key = None  # of the group at hand: its rest of members, whether a block has gone, and its leader
+        key, least, size = None, 0, 0  # of the group at hand: shingle, least and last size, its rest of members, and the leader of a block that has gone
         sids: list[int] = []
         gone: list[int] = []
 
@@ -161,23 +165,25 @@ def _tiles(rows: DataFrame) -> DataFrame:
                 own = np.array(sids, dtype=np.int64)
                 leads = [sids[int(np.argmin(W.mix(own.view(np.uint64) ^ salt)))] for salt in _ORDERS]
                 if not whole or gone:
-                    out.append((key, sids, list(dict.fromkeys(gone + leads))))
-                elif own.tobytes() not in seen:
+                    number = W.mix(np.array([key], dtype=np.int64).view(np.uint64) ^ np.uint64(least))
+                    out.append((int(number.view(np.int64)[0]), sids, list(dict.fromkeys(gone + leads))))
+                elif (times := seen.get(own.tobytes(), 0)) < (2 if len(sids) == 2 else 1):
                     if len(seen) > 50_000:
                         seen.clear()
-                    seen.add(own.tobytes())
+                    seen[own.tobytes()] = times + 1
                     out.append((None, sids, list(dict.fromkeys(leads))))
                 gone = [] if whole else leads[-1:]
             sids = []
 
-        def put(k, s):
-            nonlocal key, gone
-            if k != key:
+        def put(k, s, n):
+            nonlocal key, gone, least, size
+            if k != key or 100 * size < PERCENT * n:
                 if sids:
                     close(True)
-                key, gone = k, []
+                key, gone, least = k, [], n
             if len(sids) == BLOCK:
                 close(False)
+            size = n
             sids.append(s)
 
         def flush():
@@ -188,14 +194,16 @@ def _tiles(rows: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["tile", "sids", "leads"])
 
         for batch in batches:
-            k, s = (batch.column(c).to_numpy() for c in ("key", "sid"))
-            alone = np.ones(len(k), dtype=bool)  # rows whose shingle is not that of a neighbour
+            k, s, n = (batch.column(c).to_numpy() for c in ("key", "sid", "n"))
+            alone = np.ones(len(k), dtype=bool)  # rows that have no neighbour of their shingle and of like size
             if len(k):
-                alone[1:] &= k[1:] != k[:-1]
-                alone[:-1] &= k[:-1] != k[1:]
+                apart = (k[1:] != k[:-1]) | (100 * n[:-1].astype(np.int64) < PERCENT * n[1:].astype(np.int64))
+                alone[1:] &= apart
+                alone[:-1] &= apart
                 alone[0] = alone[-1] = False  # the group may go on in another batch
-            for i in np.flatnonzero(~alone).tolist():
-                put(int(k[i]), int(s[i]))
+            at = np.flatnonzero(~alone)
+            for one in zip(k[at].tolist(), s[at].tolist(), n[at].tolist(), strict=True):
+                put(*one)
             if len(out) > 2000:
                 yield flush()
         if sids:
@@ -348,7 +356,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     table = _count_table(profile.where("cell IS NOT NULL"))
     heads = stored(_heads(texts, table).dropDuplicates(["sid"]), "heads")
     marks = heads.select("sid", "n", "bits")
-    tiles = stored(_tiles(heads.select("n", "sid", F.explode_outer("head").alias("key"))).dropDuplicates(["tile", "sids"]), "tiles")
+    tiles = _tiles(heads.select("n", "sid", F.explode_outer("head").alias("key"))).groupBy("tile", "sids").agg(F.first("leads").alias("leads"), F.count("*").alias("times"))
+    # the sets of a pair that links are in a second tile, this one again or a larger one
+    tiles = stored(tiles.where("tile IS NOT NULL OR size(sids) > 2 OR times > 1").drop("times"), "tiles")
 
     def best(pairs: DataFrame) -> DataFrame:
         """Of the pairs (a, b) that bitmaps allow, the most similar b for each a, as (least, greatest)."""
