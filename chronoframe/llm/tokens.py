@@ -1,8 +1,8 @@
 """Exact token ids of whole texts by a public tokenizer file, with a cache of pieces.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so the ids of the pieces,
-put together, are the ids of the text: before white space that follows a visible character, and
-after a word of letters that goes on with `. , ; : ! ?`.  `tests/llm/test_contracts.py` holds this
+put together, are the ids of the text: before white space that follows a visible character, after a
+single line feed, and after a word of letters that goes on with `. , ; : ! ? # * $ % &`.  `tests/llm/test_contracts.py` holds this
 against the library on whole texts.  Each Python worker keeps the ids of the pieces it has seen, up
 to a fixed number.
 """
@@ -18,7 +18,8 @@ import pyarrow as pa
 #: White space belongs to the piece after it.
 SPACED = re.compile(r"\s*\S+|\s+")
 #: A word, and what follows it without another letter, digit or space.
-TAILED = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)")
+TAIL = ".,;:!?#*$%&"
+TAILED = re.compile(rf"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([{TAIL}]+)")
 #: Two characters of white space together, in the forms that are common, and rarer white space.
 RUNS = ("  ", " \n", "\n ", "\n\n")
 RARE_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
@@ -60,15 +61,16 @@ class Encoder(dict):
         rare = any(c in text for c in RARE_ASCII) if text.isascii() else RARE.search(text)
         if rare or "\0" in text or any(run in text for run in RUNS):
             return SPACED.findall(text)
-        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
+        # a line feed with something visible after it is a pre-token of its own
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
     def __missing__(self, piece: str) -> bytes:
         if not piece:
             found = b""
-        elif (m := TAILED.fullmatch(piece)) and (self.bare or piece[0] != "\n"):
+        elif piece[-1] in TAIL and (m := TAILED.fullmatch(piece)):
             found = self[m[1]] + self[m[2]]
-        elif (m := WORD.fullmatch(piece)) and (not self.bare or piece == piece.lower()):
-            letters = piece.encode().decode("latin-1").translate(self.letters)
+        elif WORD.fullmatch(piece) and (not self.bare or piece == piece.lower()):
+            letters = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         else:
             found = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
