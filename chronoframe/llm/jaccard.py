@@ -32,6 +32,8 @@ WORDS, PERCENT = 5, 80
 CELLS, PART = 1 << 20, 1 << 14
 #: Members of a tile block, and of the smaller side of a pair of blocks.
 BLOCK, SIDE = 512, 256
+#: Tiles of a set by which it is told whether a pair has met before.
+OWN = 64
 #: Orders of all sets, in which leaders are the first of their tile; and rounds of leaders.
 _ORDERS = W.mix(np.arange(1, 5, dtype=np.uint64))
 ROUNDS = 3
@@ -283,19 +285,23 @@ def _block_pairs(members: DataFrame) -> DataFrame:
 
     `members` has (tile, sid, n, bits, label).  Pairs within the main component of a tile need no test;
     every other pair has a member outside it.  Those members, in sides of SIDE, meet all members, in
-    blocks of BLOCK.
+    blocks of BLOCK.  A pair of many tiles comes from the first of them, as far as the OWN first tiles of each set tell.
     """
     mixed = _main_labels(members).select("tile", "main", F.ceil((F.col("all") - F.col("most")) / SIDE).cast("int").alias("us"), F.ceil(F.col("all") / BLOCK).cast("int").alias("ms"))
     rows = members.join(mixed, "tile")
+    own_tiles = rows.groupBy("sid").agg(F.slice(F.sort_array(F.collect_list("tile")), 1, OWN).alias("own"))
+    rows = rows.join(own_tiles, "sid").withColumn("out", F.col("label") != F.col("main"))
     # a member's side or block follows from its number, spread by hash
     place = F.pmod(F.xxhash64("sid"), F.col("ms")).cast("int")
     side = F.pmod(F.xxhash64("sid", F.lit(1)), F.col("us")).cast("int")
-    right = rows.select("tile", place.alias("mc"), F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("uc"), "sid", "n", "bits", "label", F.lit(False).alias("u"))
-    left = rows.where("label <> main").select("tile", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mc"), side.alias("uc"), "sid", "n", "bits", "label", F.lit(True).alias("u"))
+    right = rows.select("tile", place.alias("mc"), F.explode(F.sequence(F.lit(0), F.col("us") - 1)).alias("uc"), "sid", "n", "bits", "label", "own", "out", F.lit(False).alias("u"))
+    left = rows.where("out").select("tile", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mc"), side.alias("uc"), "sid", "n", "bits", "label", "own", "out", F.lit(True).alias("u"))
 
-    def compare(u, m):
-        """(a, b) of one side against one block; u and m are lists of (sid, n, bits, label)."""
+    def compare(tile, u, m):
+        """(a, b) of one side against one block; u and m are lists of (sid, n, bits, label, own, out)."""
         a, b = [], []
+        before = {x[0]: {t for t in x[4] if t < tile} for x in (*u, *m)}
+        out = {x[0] for x in m if x[5]}
         by_width: dict[int, list] = {}
         for x in m:
             by_width.setdefault(len(x[2]), []).append(x)
@@ -303,7 +309,7 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         for width, own in by_width.items():
             matrix = np.frombuffer(b"".join(x[2] for x in own), np.uint8).reshape(len(own), width)
             ready[width] = (np.array([x[0] for x in own]), np.array([x[1] for x in own]), np.array([x[3] for x in own]), matrix, fold(matrix))
-        for sid, n, bits, label in u:
+        for sid, n, bits, label, _, _ in u:
             mine = np.frombuffer(bits, np.uint8)
             for width, (sids, ns, labels_, matrix, folded) in ready.items():
                 if width > 2 * len(mine) or 2 * width < len(mine):
@@ -316,24 +322,26 @@ def _block_pairs(members: DataFrame) -> DataFrame:
                 total = ns[ok] + n
                 near = sids[ok][total - d >= 2 * -(-PERCENT * total // (100 + PERCENT))]
                 for s in near.tolist():
-                    a.append(min(s, sid))
-                    b.append(max(s, sid))
+                    # two sets outside the main component meet twice here
+                    if (s < sid or s not in out) and before[s].isdisjoint(before[sid]):
+                        a.append(min(s, sid))
+                        b.append(max(s, sid))
         return a, b
 
     def run(batches):
         key, u, m = None, [], []
         for batch in batches:
             a, b = [], []
-            for t, mc, uc, sid, n, bits, label, is_u in zip(*(batch.column(c).to_pylist() for c in ("tile", "mc", "uc", "sid", "n", "bits", "label", "u")), strict=True):
+            for t, mc, uc, sid, n, bits, label, own, out, is_u in zip(*(batch.column(c).to_pylist() for c in ("tile", "mc", "uc", "sid", "n", "bits", "label", "own", "out", "u")), strict=True):
                 if (t, mc, uc) != key:
                     if u and m:
-                        x, y = compare(u, m)
+                        x, y = compare(key[0], u, m)
                         a += x
                         b += y
                     key, u, m = (t, mc, uc), [], []
-                (u if is_u else m).append((sid, n, bits, label))
+                (u if is_u else m).append((sid, n, bits, label, own, out))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a, b = compare(u, m) if u and m else ([], [])
+        a, b = compare(key[0], u, m) if u and m else ([], [])
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = left.unionByName(right).repartition("tile", "mc", "uc").sortWithinPartitions("tile", "mc", "uc")

@@ -57,3 +57,11 @@ def test_about_the_threshold(spark):
                 a, b = sorted((part[i], part[j]))
                 part = [a if x == b else x for x in part]
     assert got == {i: (len(s), part[i]) for i, s in enumerate(sets)}
+
+
+def test_a_pair_is_made_once(spark, monkeypatch):
+    """Three sets of three components share nine tiles; each pair comes from one of them, from one side."""
+    rows = [(t, sid, 20, b"\x00" * 8, sid) for t in range(9) for sid in (5, 6, 7)]
+    members = spark.createDataFrame(rows, "tile bigint, sid bigint, n int, bits binary, label bigint")
+    monkeypatch.setattr(type(members), "distinct", lambda self: self)
+    assert sorted(tuple(x) for x in jaccard._block_pairs(members).collect()) == [(5, 6), (5, 7), (6, 7)]
