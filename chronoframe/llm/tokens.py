@@ -19,11 +19,9 @@ import pyarrow as pa
 SPACED = re.compile(r"\s*\S+|\s+")
 #: A word, and what follows it without another letter, digit or space.
 TAIL = ".,;:!?#*$%&"
-TAILED = re.compile(rf"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([{TAIL}]+)")
-#: Two characters of white space together, in the forms that are common, and rarer white space.
-RUNS = ("  ", " \n", "\n ", "\n\n")
+#: White space other than the space and the line feed.
 RARE_ASCII = "\t\v\f\r\x1c\x1d\x1e\x1f"
-RARE = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RARE = RARE_ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces that a worker remembers; beyond that it begins anew.
 REMEMBERED = 900_000
 _encoders: dict[str, "Encoder"] = {}
@@ -33,6 +31,13 @@ _encoders: dict[str, "Encoder"] = {}
 WORD = re.compile("( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)")
 
 
+def is_word(piece: str) -> bool:
+    """Whether all of it is a WORD; the pattern is only asked where a character is not ASCII."""
+    if piece.isascii():
+        return (piece[1:] if piece[:1] == " " else piece).isalpha()
+    return WORD.fullmatch(piece) is not None
+
+
 def byte_letters() -> dict[int, str]:
     """The visible letter that byte-level vocabularies use for each byte: itself if printable, else one from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -58,8 +63,9 @@ class Encoder(dict):
             if text.isascii() or max(text) < "\u0100":  # one lower-case letter for each, and nothing to compose
                 text = text.lower()
             return text.replace("\n", " ").split(" ")
-        rare = any(c in text for c in RARE_ASCII) if text.isascii() else RARE.search(text)
-        if rare or "\0" in text or any(run in text for run in RUNS):
+        # single characters are found far faster than patterns; two characters of white space stand together within a line or at its ends
+        rare = any(map(text.__contains__, RARE_ASCII if text.isascii() else RARE))
+        if rare or "\0" in text or "  " in text or "\n" in text and not all(x and x[0] != " " != x[-1] for x in text.split("\n")):
             return SPACED.findall(text)
         # a line feed with something visible after it is a pre-token of its own
         return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
@@ -67,9 +73,9 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if not piece:
             found = b""
-        elif piece[-1] in TAIL and (m := TAILED.fullmatch(piece)):
-            found = self[m[1]] + self[m[2]]
-        elif WORD.fullmatch(piece) and (not self.bare or piece == piece.lower()):
+        elif piece[-1] in TAIL and is_word(word := piece.rstrip(TAIL)):
+            found = self[word] + self[piece[len(word) :]]
+        elif is_word(piece) and (not self.bare or piece == piece.lower()):
             letters = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         else:
