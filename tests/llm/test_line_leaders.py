@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from chronoframe.llm import common, lines
 
 from . import brute
@@ -54,3 +56,12 @@ def test_repeated_rows_and_other_letters(spark):
     got = {(x.doc_id, x.line) for x in lines.removed_lines(spark.createDataFrame(docs, "doc_id bigint, text string"), 1).collect()}
     assert got == brute.line_matches(sorted(set(docs)), 1)
     assert {(2, 0), (3, 0), (3, 2)} <= got and (3, 1) not in got
+
+
+def test_table_is_one_value(spark):
+    """The table of word frequencies is bytes in the plan, not text that is split into an object for each cell."""
+    docs = spark.createDataFrame([(1, "a b a\na c")], "doc_id bigint, text string")
+    words = lines.line_words(docs)
+    key = lines._key(lines.rarity(words))
+    plan = words.select(key(F.element_at("words", 1)).alias("k"))._jdf.queryExecution().analyzed().toString()
+    assert "split(" not in plan.split("Project")[1] and len(plan) < 2.2 * lines.CELLS
