@@ -5,19 +5,29 @@ sides are dealt into buckets of time and joined by bucket; a pair is kept only i
 the start of its intersection, so it appears once.  Where some rows are far longer than the mean,
 each row lives at the level of its own duration (two buckets at most there) and is shown at the
 coarser levels that the other side uses, so a long row never explodes into many buckets.
+
+Where many rows have one interval, those of the right side meet the left side in lists, which are
+opened last: a list comes again and again as it is, and a left row stays for all of it, which Parquet
+stores in little room, and whole lists are compared instead of their rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoframe.functions.interval import CLOSED, HALF_OPEN, check_bounds, column, floor_div, intersection, overlaps, valid
 from chronoframe.plans.width import choose_width
 
+#: Rows in a list, and pairs from which a join without keys is dealt out by its pairs, so many for a task.
+MEMBERS, PAIRS = 256, 8_000_000
+MOST_TASKS = 4000
+
 
 def _sides(r: DataFrame, s: DataFrame, bounds: str) -> tuple[DataFrame, DataFrame]:
     """Both sides with prefixed columns, so that clashing names stay apart, and without invalid rows."""
@@ -54,9 +64,47 @@ def _last(te: str, bounds: str) -> Column:
     return F.col(te) if bounds == CLOSED else F.col(te) - 1
 
 
+def _lists(b: DataFrame) -> DataFrame:
+    """The rows of an interval as `_members`, lists of at most MEMBERS; `_list` numbers them. The order is fixed, so that a task that runs again makes the same lists."""
+    inner = [c for c in b.columns if c not in ("s_ts", "s_te")]
+    fixed = [column(c) for c, kind in b.dtypes if c in inner and not re.search("map<|variant|interval", kind)]  # those have no order
+    place = F.row_number().over(Window.partitionBy("s_ts", "s_te").orderBy(*fixed or [F.lit(0)]))
+    listed = b.withColumn("_list", ((place - 1) / MEMBERS).cast("int"))
+    return listed.groupBy("s_ts", "s_te", "_list").agg(F.collect_list(F.struct(*[column(c) for c in inner] or [F.lit(0).alias("_")])).alias("_members"))
+
+
+def _crowded_join(a: DataFrame, b: DataFrame, dealt: Callable[[DataFrame, str], DataFrame], by: list[str], keep: Column) -> DataFrame:
+    """Pairs that are dealt to the same group and that `keep` lets stay. It depends on the ends of both intervals and on the group only.
+
+    One aggregation finds the pairs of each group. A group of many is made in pieces: its lists are dealt to them, its left rows are in each.
+    """
+    rows, plain = dealt(a, "r"), dealt(b, "s")
+    load = rows.groupBy(*by).agg(F.count("*").alias("_r")).join(plain.groupBy(*by).agg(F.count("*").alias("_s")), by)
+    pairs = F.col("_r").cast("double") * F.col("_s")
+    pieces = F.ceil(F.least(pairs / PAIRS, F.lit(MOST_TASKS))).cast("int").alias("_pieces")
+    # no more groups than the tasks that their pairs need
+    found = load.agg(F.sum(pairs).alias("all"), F.collect_list(F.when(pairs > PAIRS, F.struct(*by, pieces))).alias("large")).first()
+    if (found["all"] or 0) <= PAIRS:
+        return rows.join(plain, by).where(keep)
+    lists = dealt(_lists(b), "s")
+    if found["large"]:
+        large = F.broadcast(a.sparkSession.createDataFrame(found["large"], load.select(*by, F.lit(0).alias("_pieces")).schema))
+        rows, lists = (x.join(large, by, "left").fillna(1, ["_pieces"]) for x in (rows, lists))
+        rows = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+        lists = lists.withColumn("_piece", F.pmod(F.hash("s_ts", "s_te").cast("bigint") + F.col("_list"), F.col("_pieces")).cast("int")).drop("_pieces")
+        by = [*by, "_piece"]
+    tasks = min(MOST_TASKS, 1 + int(found["all"] / PAIRS))
+    # The left side of a merge join is gone through once, so each list meets all its rows in turn.  The last condition always holds.  As a function with a
+    # lambda is not compiled, the join hands on pair by pair; compiled together with `inline` it would first hold all rows that come from one list.
+    lazy = F.forall(F.array("s_ts"), lambda x: x <= F.col("r_te"))
+    met = lists.repartition(tasks, *by).hint("merge").join(rows.repartition(tasks, *by), by).where(keep & lazy)
+    return met.select("*", F.inline("_members"))
+
+
 def overlap_join(r: DataFrame, s: DataFrame, bounds: str = HALF_OPEN, width: int | None = None, levels: bool | None = None, keys: list[str] | None = None) -> DataFrame:
     """All pairs of overlapping rows (with equal keys, where keys are given; null keys match nothing), with their intersection.
 
+
     Keys are matched together with the bucket, so a key that very many rows share is no group of its own.
 
     `width` and `levels` are found by one aggregation over both sides when they are not given.
@@ -70,9 +118,9 @@ def overlap_join(r: DataFrame, s: DataFrame, bounds: str = HALF_OPEN, width: int
     if levels:
         return _finish(_level_join(a, b, bounds, met), r, s)
     buckets = lambda p: F.explode(F.sequence(floor_div(F.col(f"{p}_ts"), width), floor_div(_last(f"{p}_te", bounds), width)))
+    first = floor_div(F.greatest("r_ts", "s_ts"), width)
     x, y = a.select("*", buckets("r").alias("_rb")), b.select("*", buckets("s").alias("_sb"))
     pairs = x.join(y, (F.col("_rb") == F.col("_sb")) & met)
-    first = floor_div(F.greatest("r_ts", "s_ts"), width)
     return _finish(pairs.where(_condition(bounds) & (first == F.col("_rb"))), r, s)
 
 
@@ -123,9 +171,9 @@ def by_interval(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
 
 
 def interval_equality_join(r: DataFrame, s: DataFrame) -> DataFrame:
-    """Pairs whose intervals are the same."""
+    """Pairs whose intervals are the same; the right side's rows of an interval meet the left side's in lists where there are many pairs."""
     a, b = _sides(r, s, CLOSED)
-    return _finish(a.join(b, (F.col("r_ts") == F.col("s_ts")) & (F.col("r_te") == F.col("s_te"))), r, s)
+    return _finish(_crowded_join(a, b, lambda df, p: df.withColumns({"_ts": F.col(f"{p}_ts"), "_te": F.col(f"{p}_te")}), ["_ts", "_te"], F.lit(True)), r, s)
 
 
 def range_select(df: DataFrame, low: int, high: int, bounds: str = HALF_OPEN) -> DataFrame:

@@ -100,7 +100,8 @@ def overlap_join_keyed_closed(spark, sf):
 
 @query("interval_equality_join", f"WITH {VIEWS} SELECT r.id AS r_id, s.id AS s_id, r.ts AS ts, r.te AS te FROM R r JOIN S s ON r.ts = s.ts AND r.te = s.te")
 def interval_equality_join(spark, sf):
-    return join.interval_equality_join(orders_iv(spark, sf), lineitem_iv(spark, sf)).select("r_id", "s_id", "ts", "te")
+    r, s = (x.select("ts", "te", "id") for x in (orders_iv(spark, sf), lineitem_iv(spark, sf)))  # lists keep all columns that they are given
+    return join.interval_equality_join(r, s).select("r_id", "s_id", "ts", "te")
 
 
 @query("range_select", f"WITH {VIEWS} SELECT ts, te, k, id FROM S WHERE ts < {HIGH} AND te > {LOW}")
